@@ -6,16 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe_words, decontam, lang_id, license_scan, simhash, url_filter
 from .common import table
-from .simhash import op7_query
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.op1_query(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.op4_query(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.op6_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def decontam_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.proximity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op7_query(table(spark, sf_dir, "documents"))
+    return simhash.op7_query(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.op8_query(table(spark, sf_dir, "pages"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_words.op10_query(spark, table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op4_language_id": op4_language_id,
+    "op6_decontamination": op6_decontamination,
+    "decontam_proximity": decontam_proximity,
     "op7_simhash": op7_simhash,
+    "op8_url_filter": op8_url_filter,
+    "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontamination": decontam.ORACLE,
+}
