@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_words, decontam, lang_id, license_scan, simhash, url_filter
+from . import ann_mih, bpe_words, decontam, lang_id, license_scan, simhash, url_filter
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.op1_query(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_mih.op2_query(table(spark, sf_dir, "embeddings"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.op4_query(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_nearest": op2_nearest,
     "op4_language_id": op4_language_id,
     "op6_decontamination": op6_decontamination,
     "decontam_proximity": decontam_proximity,
