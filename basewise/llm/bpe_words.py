@@ -119,8 +119,8 @@ def _frequent(words: DataFrame, most: int) -> tuple[dict[str, bytes], bool]:
     return dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)), found.num_rows == sum(n for _, n in by)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, digest: bool = False) -> DataFrame:
-    """Return (id, ids) for every row, or with digest (id, n_tokens, ids_sha256, decoded_sha256).
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, digest: bool = False, decoded: bool = False) -> DataFrame:
+    """Return (id, ids) for every row, with decoded (id, ids, decoded), or with digest (id, n_tokens, ids_sha256, decoded_sha256).
 
     ids are those of the tokenizer in the file path, as array<int>.  Null and empty texts have none.
     A row is returned for each row, repeated ones and null ids too; other columns are ignored.  At most `frequent` words are
@@ -132,17 +132,19 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     common, whole = _frequent(words, frequent)
     held = spark.sparkContext.broadcast(common)
     shared = spark.sparkContext.broadcast(piece_of)  # as long as the vocabulary
-    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>"
+    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string" if decoded else "ids array<int>"
 
     def final(ids: bytes):
         a = np.frombuffer(ids, "<u4")
-        if not digest:
+        if not digest and not decoded:
             return (a.astype(np.int32),)
         text = " ".join(map(shared.value.__getitem__, a.tolist()))
+        if not digest:
+            return a.astype(np.int32), text
         return len(a), hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
-    fields = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids"]
-    types = [pa.int64(), pa.string(), pa.string()] if digest else [pa.list_(pa.int32())]
+    fields = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"][: 1 + decoded]
+    types = [pa.int64(), pa.string(), pa.string()] if digest else [pa.list_(pa.int32()), pa.string()][: 1 + decoded]
 
     def columns(rows: list) -> list[pa.Array]:
         return [pa.array([None if r is None else r[k] for r in rows], t) for k, t in enumerate(types)]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_mih, bpe_words, decontam, lang_id, license_scan, simhash, url_filter
+from . import ann_mih, bpe_words, decontam, html_templates, lang_id, license_scan, secret_scan, simhash, url_filter
 from .common import table
 
 
@@ -18,10 +18,18 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_mih.op2_query(table(spark, sf_dir, "embeddings"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_templates.op3_query(table(spark, sf_dir, "pages"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.op4_query(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.op5_query(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op6_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,7 +53,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_nearest": op2_nearest,
+    "op3_html_text": op3_html_text,
     "op4_language_id": op4_language_id,
+    "op5_secret_scan": op5_secret_scan,
     "op6_decontamination": op6_decontamination,
     "decontam_proximity": decontam_proximity,
     "op7_simhash": op7_simhash,
