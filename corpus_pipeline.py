@@ -1,20 +1,53 @@
-"""A corpus-cleaning pipeline over documents: each stage is one operator of basewise.llm."""
+"""A corpus-cleaning pipeline over documents: each stage is one operator of basewise.llm.
+
+Rows with a null doc_id stay together with the others: they are their own documents in every stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from basewise.llm import bpe_words, lang_id
 from basewise.llm.common import stash, table
+from basewise.llm.decontam import decontaminate
+from basewise.llm.secret_scan import redact
 from basewise.llm.simhash import simhash_groups
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that are like none of the languages learned from docs: null texts, texts without letters, and scores below LEAST_SCORE."""
+    judged = lang_id.identify(docs, lang_id.profiles(docs), docs.columns)
+    return judged.filter((F.col("lang_pred") != lang_id.UND) & (F.col("score") >= lang_id.LEAST_SCORE)).select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate group."""
-    kept = simhash_groups(docs).filter("id = component").select(docs_id := "id")
-    return docs.join(kept.withColumnRenamed(docs_id, "doc_id"), "doc_id", "left_semi")
+    """Keep the document with the smallest id of each near-duplicate group; of rows that repeat its id, one."""
+    groups = stash(simhash_groups(docs), "pipeline-groups")
+    kept = docs.join(groups.filter("id <> component").select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+    repeated = groups.filter("id is not null and id = component").groupBy("id").count().filter("count > 1").select(F.col("id").alias("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a window of a benchmark item."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), slop=None).filter("n_hit > 0").select(F.col("doc_id").alias("__id"))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask secrets in texts; every document stays."""
+    return redact(docs)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode every text; return its ids and the text they decode to."""
+    return bpe_words.encode(docs, bpe_words.default_path(), decoded=True).select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+STAGES = [("language_id", language), ("simhash_near_dedup", near_dedup), ("benchmark_decontamination", decontamination), ("secret_scans", secrets), ("bpe_encoding", bpe)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
