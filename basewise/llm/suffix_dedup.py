@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stash, utf8
@@ -223,9 +223,10 @@ def _contexts(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, f"{PLACE}, stop int, h long, class long, n int, anchor int")
 
 
-def _split_later(rows: DataFrame, keys: list[str]) -> Column:
-    """Whether a row's place comes after that of another with its keys; a key has few rows, one from each task at most."""
-    return F.struct("doc", "part", "start") > F.min(F.struct("doc", "part", "start")).over(Window.partitionBy(*keys))
+def _order(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with nth, 1 for one of the rows with the least place among those with its keys, and later, whether its place is greater; a key has few rows, one from each task at most."""
+    place, by = F.struct("doc", "part", "start"), Window.partitionBy(*keys).orderBy("doc", "part", "start")
+    return rows.withColumns({"nth": F.row_number().over(by), "later": place > F.first(place).over(by)})
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, merged: int = MERGED, held: int = HELD) -> DataFrame:
@@ -236,10 +237,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, merg
     contexts = stash(_contexts(docs, length, gram), "suffix-contexts")
     spans = [contexts.filter("h is null").select(*SPAN)]
     classes = contexts.filter("h is not null")
-    ranked = stash(classes.withColumn("later", _split_later(classes, ["h", "class"])), "suffix-classes")
-    spans.append(ranked.filter("later").select(*SPAN))
+    ranked = _order(classes, ["h", "class"]).filter("later or nth = 1")
+    ranked = stash(ranked.select("doc", "part", "start", "n", F.when(~F.col("later"), F.col("h")).alias("h"), F.when(~F.col("later"), F.col("anchor")).alias("anchor")), "suffix-classes")
+    spans.append(ranked.filter("h is null").select("doc", "part", "start", (F.col("start") + F.col("n") + length - 1).alias("stop")))
 
-    firsts = ranked.filter("not later").dropDuplicates(["h", "class"])
+    firsts = ranked.filter("h is not null")
     several = firsts.groupBy("h").agg(F.count("*").alias("classes")).filter("classes > 1")
     open_ = stash(firsts.join(several, "h").select("h", "doc", "part", "start", "n", "anchor", (F.col("classes") > merged).alias("hot")), "suffix-open")
     total = open_.count()
@@ -292,7 +294,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, merg
     hot = stash(cuts.filter("hot").select("doc", "part", "start", "bytes").mapInArrow(windows, f"{PLACE}, stop int, k1 long, k2 long"), "suffix-windows")
     spans.append(hot.filter("k1 is null").select(*SPAN))
     keyed = hot.filter("k1 is not null")
-    spans.append(keyed.withColumn("later", _split_later(keyed, ["k1", "k2"])).filter("later").select(*SPAN))
+    spans.append(_order(keyed, ["k1", "k2"]).filter("later").select(*SPAN))
     out = spans[0]
     for more in spans[1:]:
         out = out.unionByName(more)
