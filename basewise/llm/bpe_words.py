@@ -1,22 +1,24 @@
 """BPE encoding and decoding over a distinct-word table.
 
 Documents are split into the tokenizer's words.  Every distinct word is encoded once; its ids come
-back to each place where the word stands.  The most frequent words, a table of bounded size, come back by broadcast,
-all rarer ones by a shuffled join on the word.  Ids are decoded through an id-to-piece table of fixed size.
+back to each place where the word stands.  The most frequent words, a table of bounded size, come back by broadcast;
+each rarer word is dealt by Spark to one task, with the documents that hold it, encoded there, and its ids go back to the documents by a join.
+Ids are decoded through an id-to-piece table of fixed size.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +28,22 @@ from .common import stash
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 MARK = "\0"  # before an added token's own string; no word begins so and holds letters
-HOLE = 0xFFFFFFFF
 FREQUENT = 250_000  # words in the broadcast table at most
-LONGEST = 64  # bytes of a word in it at most
-FLUSH = 300_000
+FREQUENT_BYTES = 24 << 20  # and bytes of them
+LONGEST = 1_024  # bytes of a word in it at most
+LEAST = 3  # occurrences in some part of a task's texts that a frequent word has
+FLUSH = 300_000  # words or chunks that a task remembers
+NO_ID = 0x7FFFFFFFFFFFFFFF  # stands for a null id
+
+_spaces = re.compile(f"[{SPACE}]+")
+_no_space = re.compile("[\x1c-\x1f]")  # str.split takes these for white space
+
+
+def chunks(text: str) -> list[str]:
+    """The parts of a text between white space, as the tokenizer knows it; no word reaches over it."""
+    if _no_space.search(text):
+        return [x for x in _spaces.split(text) if x]
+    return text.split()
 
 
 class Splitter:
@@ -66,21 +80,28 @@ def pieces(path: str) -> list[str]:
     return out
 
 
-def word_counts(docs: DataFrame, added: list[str], text_col: str = "text") -> DataFrame:
-    """Return (word, n): how often each distinct word stands in all texts."""
+def word_counts(docs: DataFrame, added: list[str], text_col: str = "text", least: int = 1) -> DataFrame:
+    """Return (word, n): how often each distinct word stands in all texts.
+
+    least: words that stand less often in all of the parts of a task's texts that are counted together are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, seen = Splitter(added), Counter()
 
         def flushed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            words: Counter[str] = Counter()
+            for chunk, n in seen.items():
+                for word in split(chunk):
+                    words[word] += n
             seen.clear()
-            return out
+            kept = [(w, n) for w, n in words.items() if n >= least]
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    seen.update(split(text))
+                    seen.update(chunks(text))
                     if len(seen) > FLUSH:
                         yield flushed()
         yield flushed()
@@ -88,35 +109,80 @@ def word_counts(docs: DataFrame, added: list[str], text_col: str = "text") -> Da
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def encoded_words(counts: DataFrame, path: str) -> DataFrame:
-    """Return (word, n, ids): ids as little-endian unsigned 32-bit integers."""
-    added = _added(path)
+class WordEncoder:
+    """Encodes single words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        model = Tokenizer(Tokenizer.from_file(path).model)  # words are normalized and split by now
-        model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.added = _added(path)
+        self.model = Tokenizer(Tokenizer.from_file(path).model)  # words are normalized and split by now
+        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as little-endian unsigned 32-bit integers."""
+        own = [[self.added[w[1:]]] if w[:1] == MARK and w[1:] in self.added else None for w in words]
+        return [np.array(a or e.ids, "<u4").tobytes() for a, e in zip(own, self.model.encode_batch(words, add_special_tokens=False), strict=True)]
+
+
+def encoded_words(words: DataFrame, path: str) -> DataFrame:
+    """Return (word, n, ids) for distinct words (word, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordEncoder(path)
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            own = [[added[w[1:]]] if w[:1] == MARK and w[1:] in added else None for w in words]
-            ids = [a or e.ids for a, e in zip(own, model.encode_batch(words, add_special_tokens=False), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())], ["word", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(encoder(batch.column(0).to_pylist()), pa.binary())], ["word", "n", "ids"])
 
-    return counts.select("word", "n").mapInArrow(run, "word string, n long, ids binary")
+    return words.select("word", "n").mapInArrow(run, "word string, n long, ids binary")
 
 
-def _frequent(words: DataFrame, most: int) -> tuple[dict[str, bytes], bool]:
-    """The words of at least some power of two occurrences, most in number at most; whether these are all."""
-    short = F.octet_length("word") <= LONGEST
-    by = words.groupBy(F.when(short, F.floor(F.log2("n"))).cast("int").alias("p")).count().collect()  # 65 rows at most
-    room, least = most, 64
-    for p, n in sorted(((p, n) for p, n in by if p is not None), reverse=True):
-        if n > room:
+def _frequent(words: DataFrame, most: int) -> DataFrame:
+    """The words of at least some power of two occurrences, bounded in number and bytes."""
+    short = words.filter(F.octet_length("word") <= LONGEST).withColumn("p", F.floor(F.log2("n")).cast("int"))
+    by = short.groupBy("p").agg(F.count("*").alias("n"), F.sum(F.octet_length("word")).alias("size")).collect()  # 64 rows at most
+    room, bytes_, least = most, FREQUENT_BYTES, 64
+    for p, n, size in sorted(by, reverse=True):
+        room, bytes_ = room - n, bytes_ - size
+        if min(room, bytes_) < 0:
             break
-        room, least = room - n, p
-    found = words.filter(short & (F.floor(F.log2("n")) >= least)).select("word", "ids").toArrow()
-    return dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)), found.num_rows == sum(n for _, n in by)
+        least = p
+    return short.filter(F.col("p") >= least).select("word", "n")
+
+
+class Places:
+    """Turns a text into word codes: a frequent word's number, or, for the k-th distinct rare word, the table's length + k."""
+
+    def __init__(self, code_of: dict[str, int], added: list[str]):
+        self.split, self.code_of = Splitter(added), code_of
+        self.known: dict[str, bytes | list[str]] = {}
+
+    def __call__(self, text: str) -> tuple[bytes, list[str]]:
+        """The codes as unsigned 32-bit integers, and the distinct rare words in order."""
+        rare: dict[str, int] = {}
+        out = []
+        for chunk in chunks(text):
+            found = self.known.get(chunk)
+            if found is None:
+                words = self.split(chunk)
+                codes = [self.code_of.get(w) for w in words]
+                found = words if None in codes else np.array(codes, "<u4").tobytes()
+                if len(self.known) > FLUSH:
+                    self.known.clear()
+                self.known[chunk] = found
+            if isinstance(found, list):
+                found = np.array([c if (c := self.code_of.get(w)) is not None else len(self.code_of) + rare.setdefault(w, len(rare)) for w in found], "<u4").tobytes()
+            out.append(found)
+        return b"".join(out), list(rare)
+
+
+def _packed(codes: bytes) -> bytes:
+    """Codes in few bytes: their four bytes apart, compressed."""
+    return zstandard.ZstdCompressor(level=3).compress(np.frombuffer(codes, np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(packed: bytes) -> list[int]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4")[:, 0].tolist()
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, digest: bool = False, decoded: bool = False) -> DataFrame:
@@ -124,71 +190,62 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     ids are those of the tokenizer in the file path, as array<int>.  Null and empty texts have none.
     A row is returned for each row, repeated ones and null ids too; other columns are ignored.  At most `frequent` words are
-    broadcast; the rest come back by a join on the word, whatever their number.
+    broadcast; the rest come back by a join, whatever their number.
     """
     spark = docs.sparkSession
     added, piece_of = list(_added(path)), pieces(path)
-    words = stash(encoded_words(word_counts(docs, added, text_col), path), "bpe-words")
-    common, whole = _frequent(words, frequent)
-    held = spark.sparkContext.broadcast(common)
-    shared = spark.sparkContext.broadcast(piece_of)  # as long as the vocabulary
-    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string" if decoded else "ids array<int>"
+    common = encoded_words(_frequent(stash(word_counts(docs, added, text_col, LEAST), "bpe-counts"), frequent), path).orderBy(F.desc("n"), "word").toArrow()
+    ids_of = common.column("ids").to_pylist()
+    said = lambda ids: " ".join(piece_of[k] for k in np.frombuffer(ids, "<u4").tolist())
+    codes = spark.sparkContext.broadcast({w: k for k, w in enumerate(common.column("word").to_pylist())})
+    table = spark.sparkContext.broadcast((ids_of, [said(x) for x in ids_of], piece_of))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = Places(codes.value, added)
+        for batch in batches:
+            found = [place(t)[1] for t in batch.column(2).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([k for x in found for k in range(len(x))], pa.int32()), pa.array([w for x in found for w in x], pa.string())], ["id", "hash", "k", "word"])
 
-    def final(ids: bytes):
-        a = np.frombuffer(ids, "<u4")
-        if not digest and not decoded:
-            return (a.astype(np.int32),)
-        text = " ".join(map(shared.value.__getitem__, a.tolist()))
-        if not digest:
-            return a.astype(np.int32), text
-        return len(a), hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+    def encode_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, done = WordEncoder(path), {}
+        for batch in batches:
+            words = batch.column(3).to_pylist()
+            new = list({w for w in words if w not in done})
+            done.update(zip(new, encoder(new), strict=True))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([done[w] for w in words], pa.binary())], ["id", "hash", "k", "ids"])
+            if len(done) > FLUSH:
+                done.clear()
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = Places(codes.value, added)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([_packed(place(t)[0]) if t else b"" for t in batch.column(2).to_pylist()], pa.binary())], ["id", "hash", "codes"])
 
+    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string" if decoded else "ids array<int>"
     fields = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"][: 1 + decoded]
     types = [pa.int64(), pa.string(), pa.string()] if digest else [pa.list_(pa.int32()), pa.string()][: 1 + decoded]
 
-    def columns(rows: list) -> list[pa.Array]:
-        return [pa.array([None if r is None else r[k] for r in rows], t) for k, t in enumerate(types)]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, find, hole = Splitter(added), held.value.get, np.array([HOLE], "<u4").tobytes()
-        for batch in batches:
-            done, partial, missing = [], [], []
-            for text in batch.column(1).to_pylist():
-                ws = split(text) if text else []
-                ids = list(map(find, ws))
-                if None in ids:
-                    missing.append([w for w, x in zip(ws, ids, strict=True) if x is None])
-                    partial.append(zlib.compress(b"".join(hole if x is None else x for x in ids), 1))
-                    done.append(None)
-                else:
-                    missing.append(None)
-                    partial.append(None)
-                    done.append(final(b"".join(ids)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns(done), pa.array(partial, pa.binary()), pa.array(missing, pa.list_(pa.string()))], ["id", *fields, "partial", "missing"])
-
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of, said_of, piece_of = table.value
+        n = len(ids_of)
         for batch in batches:
-            done = []
-            for partial, missing, found in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                ids_of = {x["word"]: x["ids"] for x in found}
-                ids = np.frombuffer(zlib.decompress(partial), "<u4")
-                cuts = np.flatnonzero(ids == HOLE).tolist()
-                out, at = [], 0
-                for cut, word in zip(cuts, missing, strict=True):
-                    out += [ids[at:cut].tobytes(), ids_of[word]]
-                    at = cut + 1
-                done.append(final(b"".join([*out, ids[at:].tobytes()])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns(done)], ["id", *fields])
-
-    placed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(place, f"id long, {kind}, partial binary, missing array<string>")
-    if whole:
-        return placed.select("id", *fields)
-    placed = stash(placed, "bpe-placed")
-    wanted = placed.select("id", F.explode(F.array_distinct("missing")).alias("word"))
-    found = wanted.join(words.select("word", "ids"), "word").groupBy("id").agg(F.collect_set(F.struct("word", "ids")).alias("found"))
-    rest = placed.filter("partial is not null").join(found.withColumnRenamed("id", "found_id"), F.col("id").eqNullSafe(F.col("found_id")))
-    filled = rest.select("id", "partial", "missing", "found").mapInArrow(fill, f"id long, {kind}")
-    return placed.filter("partial is null").select("id", *fields).union(filled)
+            out = []
+            for packed, own, ids in zip(*(c.to_pylist() for c in batch.columns[1:4]), strict=True):
+                rare = dict(zip(own or (), ids or (), strict=True))
+                spoken = {k: " ".join(piece_of[i] for i in np.frombuffer(x, "<u4").tolist()) for k, x in rare.items()} if digest or decoded else {}
+                at = _unpacked(packed) if packed else []
+                whole = b"".join([ids_of[c] if c < n else rare[c - n] for c in at])
+                text = " ".join([said_of[c] if c < n else spoken[c - n] for c in at]) if digest or decoded else ""
+                out.append((len(whole) // 4, hashlib.sha256(whole).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) if digest else (np.frombuffer(whole, "<u4").astype(np.int32), text))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in out], t) for k, t in enumerate(types))], ["id", *fields])
+
+    found = rows.mapInArrow(rare_words, "id long, hash long, k int, word string").repartition("word").mapInArrow(encode_rare, "id long, hash long, k int, ids binary")
+    found = found.groupBy("id", "hash").agg(F.collect_list(F.struct("k", "ids")).alias("rare"))
+    joined = rows.mapInArrow(placed, "id long, hash long, codes binary").join(found, ["id", "hash"], "left")
+    filled = joined.select("id", "codes", F.col("rare.k").alias("own"), F.col("rare.ids").alias("ids")).mapInArrow(fill, f"id long, {kind}")
+    return filled.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id")))
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
