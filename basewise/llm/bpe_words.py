@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import unicodedata
 from collections import Counter
@@ -31,8 +32,9 @@ MARK = "\0"  # before an added token's own string; no word begins so and holds l
 FREQUENT = 250_000  # words in the broadcast table at most
 FREQUENT_BYTES = 24 << 20  # and bytes of them
 LONGEST = 1_024  # bytes of a word in it at most
-LEAST = 3  # occurrences in some part of a task's texts that a frequent word has
-FLUSH = 300_000  # words or chunks that a task remembers
+LEAST = 2  # occurrences in some part of a task's texts that a frequent word has
+FLUSH = 200_000  # chunks that a task counts at a time
+KNOWN = 100_000  # chunks or rare words that a task remembers
 NO_ID = 0x7FFFFFFFFFFFFFFF  # stands for a null id
 
 _spaces = re.compile(f"[{SPACE}]+")
@@ -61,7 +63,7 @@ class Splitter:
     def _plain(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # each character is lower-cased alone
-        return self.words(text.lower())
+        return [low] if (low := text.lower()).isalpha() else self.words(low)
 
 
 def _added(path: str) -> dict[str, int]:
@@ -83,7 +85,8 @@ def pieces(path: str) -> list[str]:
 def word_counts(docs: DataFrame, added: list[str], text_col: str = "text", least: int = 1) -> DataFrame:
     """Return (word, n): how often each distinct word stands in all texts.
 
-    least: words that stand less often in all of the parts of a task's texts that are counted together are left out.
+    least: words that stand less often in all of the parts of a task's texts that are counted together are left out, and
+    more may be that stand there only in chunks that do not recur.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,13 +95,14 @@ def word_counts(docs: DataFrame, added: list[str], text_col: str = "text", least
         def flushed() -> pa.RecordBatch:
             words: Counter[str] = Counter()
             for chunk, n in seen.items():
-                for word in split(chunk):
-                    words[word] += n
+                if n > 1 or least == 1:
+                    for word in split(chunk):
+                        words[word] += n
             seen.clear()
             kept = [(w, n) for w, n in words.items() if n >= least]
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
 
-        for batch in batches:
+        for batch in _small(batches):
             for text in batch.column(0).to_pylist():
                 if text:
                     seen.update(chunks(text))
@@ -113,6 +117,7 @@ class WordEncoder:
     """Encodes single words."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and each thread would hold memory
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.added = _added(path)
@@ -130,59 +135,81 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(path)
-        for batch in batches:
+        for batch in _small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(encoder(batch.column(0).to_pylist()), pa.binary())], ["word", "n", "ids"])
 
     return words.select("word", "n").mapInArrow(run, "word string, n long, ids binary")
 
 
 def _frequent(words: DataFrame, most: int) -> DataFrame:
-    """The words of at least some power of two occurrences, bounded in number and bytes."""
-    short = words.filter(F.octet_length("word") <= LONGEST).withColumn("p", F.floor(F.log2("n")).cast("int"))
-    by = short.groupBy("p").agg(F.count("*").alias("n"), F.sum(F.octet_length("word")).alias("size")).collect()  # 64 rows at most
-    room, bytes_, least = most, FREQUENT_BYTES, 64
-    for p, n, size in sorted(by, reverse=True):
+    """The most frequent words, bounded in number and bytes; counts from 1,024 on are told apart by their power of two only."""
+    level = F.when(F.col("n") < 1_024, F.col("n")).otherwise(1_014 + F.floor(F.log2("n"))).cast("int")
+    short = words.filter(F.octet_length("word") <= LONGEST).withColumn("level", level)
+    by = short.groupBy("level").agg(F.count("*").alias("n"), F.sum(F.octet_length("word")).alias("size")).collect()  # 1,077 rows at most
+    room, bytes_, least = most, FREQUENT_BYTES, 2_000
+    for lev, n, size in sorted(by, reverse=True):
         room, bytes_ = room - n, bytes_ - size
         if min(room, bytes_) < 0:
             break
-        least = p
-    return short.filter(F.col("p") >= least).select("word", "n")
+        least = lev
+    return short.filter(F.col("level") >= least).select("word", "n")
 
 
 class Places:
-    """Turns a text into word codes: a frequent word's number, or, for the k-th distinct rare word, the table's length + k."""
+    """Turns a text into word codes of four bytes: a frequent word's number, or, for the k-th of its distinct rare words in sorted order, the table's length + k."""
 
-    def __init__(self, code_of: dict[str, int], added: list[str]):
+    def __init__(self, code_of: dict[str, bytes], added: list[str]):
         self.split, self.code_of = Splitter(added), code_of
-        self.known: dict[str, bytes | list[str]] = {}
-
-    def __call__(self, text: str) -> tuple[bytes, list[str]]:
-        """The codes as unsigned 32-bit integers, and the distinct rare words in order."""
-        rare: dict[str, int] = {}
-        out = []
-        for chunk in chunks(text):
-            found = self.known.get(chunk)
-            if found is None:
-                words = self.split(chunk)
-                codes = [self.code_of.get(w) for w in words]
-                found = words if None in codes else np.array(codes, "<u4").tobytes()
-                if len(self.known) > FLUSH:
-                    self.known.clear()
-                self.known[chunk] = found
-            if isinstance(found, list):
-                found = np.array([c if (c := self.code_of.get(w)) is not None else len(self.code_of) + rare.setdefault(w, len(rare)) for w in found], "<u4").tobytes()
-            out.append(found)
-        return b"".join(out), list(rare)
-
-
-def _packed(codes: bytes) -> bytes:
+        self.known = dict(code_of)  # the codes of chunks of frequent words
+
+    def _learn(self, chunk: str) -> list[str] | None:
+        """The words of a chunk with rare words; chunks of frequent words become known."""
+        words = self.split(chunk)
+        codes = [self.code_of.get(w) for w in words]
+        if None in codes:
+            return words
+        self.known[chunk] = b"".join(codes) if len(codes) > 1 else codes[0]
+        return None
+
+    def _fresh(self) -> dict[str, bytes]:
+        if len(self.known) > KNOWN + len(self.code_of):
+            self.known = dict(self.code_of)
+        return self.known
+
+    def rare(self, text: str) -> list[str]:
+        """The distinct rare words, sorted."""
+        return sorted({w for chunk in set(chunks(text)).difference(self._fresh()) for w in self._learn(chunk) or () if w not in self.code_of})
+
+    def __call__(self, text: str) -> bytes:
+        known, parts = self._fresh(), chunks(text)
+        found = list(map(known.get, parts))
+        if None in found:
+            new = {c: self._learn(c) for c in set(parts).difference(known)}
+            rare = sorted({w for words in new.values() for w in words or () if w not in self.code_of})
+            code = {w: (len(self.code_of) + k).to_bytes(4, "little") for k, w in enumerate(rare)}
+            own = {c: b"".join([code[w] if w in code else self.code_of[w] for w in words]) if words else known[c] for c, words in new.items()}
+            found = [own[c] if x is None else x for c, x in zip(parts, found, strict=True)]
+        return b"".join(found)
+
+
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that little of them is Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+class Packer:
     """Codes in few bytes: their four bytes apart, compressed."""
-    return zstandard.ZstdCompressor(level=3).compress(np.frombuffer(codes, np.uint8).reshape(-1, 4).T.tobytes())
 
+    def __init__(self):
+        self.squeeze, self.expand = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
 
-def _unpacked(packed: bytes) -> list[int]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4")[:, 0].tolist()
+    def pack(self, codes: bytes) -> bytes:
+        return self.squeeze(np.frombuffer(codes, np.uint8).reshape(-1, 4).T.tobytes()) if codes else b""
+
+    def unpack(self, packed: bytes) -> list[int]:
+        return np.ascontiguousarray(np.frombuffer(self.expand(packed), np.uint8).reshape(4, -1).T).view("<u4")[:, 0].tolist() if packed else []
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, digest: bool = False, decoded: bool = False) -> DataFrame:
@@ -197,31 +224,31 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     common = encoded_words(_frequent(stash(word_counts(docs, added, text_col, LEAST), "bpe-counts"), frequent), path).orderBy(F.desc("n"), "word").toArrow()
     ids_of = common.column("ids").to_pylist()
     said = lambda ids: " ".join(piece_of[k] for k in np.frombuffer(ids, "<u4").tolist())
-    codes = spark.sparkContext.broadcast({w: k for k, w in enumerate(common.column("word").to_pylist())})
+    codes = spark.sparkContext.broadcast({w: k.to_bytes(4, "little") for k, w in enumerate(common.column("word").to_pylist())})
     table = spark.sparkContext.broadcast((ids_of, [said(x) for x in ids_of], piece_of))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = Places(codes.value, added)
-        for batch in batches:
-            found = [place(t)[1] for t in batch.column(2).to_pylist()]
+        for batch in _small(batches):
+            found = [place.rare(t) for t in batch.column(2).to_pylist()]
             at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([k for x in found for k in range(len(x))], pa.int32()), pa.array([w for x in found for w in x], pa.string())], ["id", "hash", "k", "word"])
 
     def encode_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, done = WordEncoder(path), {}
-        for batch in batches:
+        for batch in _small(batches):
             words = batch.column(3).to_pylist()
             new = list({w for w in words if w not in done})
             done.update(zip(new, encoder(new), strict=True))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([done[w] for w in words], pa.binary())], ["id", "hash", "k", "ids"])
-            if len(done) > FLUSH:
+            if len(done) > KNOWN:
                 done.clear()
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = Places(codes.value, added)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([_packed(place(t)[0]) if t else b"" for t in batch.column(2).to_pylist()], pa.binary())], ["id", "hash", "codes"])
+        place, pack = Places(codes.value, added), Packer().pack
+        for batch in _small(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([pack(place(t)) for t in batch.column(2).to_pylist()], pa.binary())], ["id", "hash", "codes"])
 
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string" if decoded else "ids array<int>"
     fields = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"][: 1 + decoded]
@@ -229,13 +256,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, said_of, piece_of = table.value
-        n = len(ids_of)
-        for batch in batches:
+        n, unpack = len(ids_of), Packer().unpack
+        for batch in _small(batches):
             out = []
             for packed, own, ids in zip(*(c.to_pylist() for c in batch.columns[1:4]), strict=True):
                 rare = dict(zip(own or (), ids or (), strict=True))
                 spoken = {k: " ".join(piece_of[i] for i in np.frombuffer(x, "<u4").tolist()) for k, x in rare.items()} if digest or decoded else {}
-                at = _unpacked(packed) if packed else []
+                at = unpack(packed)
                 whole = b"".join([ids_of[c] if c < n else rare[c - n] for c in at])
                 text = " ".join([said_of[c] if c < n else spoken[c - n] for c in at]) if digest or decoded else ""
                 out.append((len(whole) // 4, hashlib.sha256(whole).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) if digest else (np.frombuffer(whole, "<u4").astype(np.int32), text))
