@@ -1,0 +1,144 @@
+"""Windows over sequences, and databases of kmers in long form: (kmer, taxid, cnt) and (kmer, read, pos)."""
+
+from __future__ import annotations
+
+import json
+from dataclasses import asdict, dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from basewise.functions import bases
+
+
+def runs(df: DataFrame, seq: str = "seq") -> DataFrame:
+    """One row for each run of valid bases, upper-cased; lines without one give none."""
+    parts = F.regexp_extract_all(F.col(seq), F.lit("([ACGTacgt]+)"), F.lit(1))
+    return df.withColumn(seq, F.explode(parts)).withColumn(seq, F.upper(seq))
+
+
+def windows(df: DataFrame, min_k: int, max_k: int | None = None, seq: str = "seq") -> DataFrame:
+    """Add pos and kmer: one window of max_k bases from each start, shorter ones to min_k at the end.  Null and short sequences give none."""
+    max_k = max_k or min_k
+    if not 0 < min_k <= max_k:
+        raise ValueError("0 < min_k <= max_k is needed")
+    n = F.length(seq)
+    each = F.transform(F.sequence(F.lit(0), n - min_k), lambda p: F.substr(F.col(seq), p + 1, F.least(F.lit(max_k), n - p)))
+    return df.filter(n >= min_k).select(*[c for c in df.columns if c != seq], F.posexplode(each).alias("pos", "kmer"))
+
+
+def scanner_windows(df: DataFrame, min_k: int, max_k: int, seq: str = "seq") -> DataFrame:
+    """Windows as a one-pass scanner gives them over invalid bases: where a full window is not valid, all its valid suffixes from min_k on; the same at the end."""
+    n, valid = F.length(seq), lambda k: k.rlike("^[ACGTacgt]+$")
+    cut = lambda end, size: F.struct((end - size).alias("pos"), F.substr(F.col(seq), end - size + 1, size).alias("kmer"))
+    none = F.array().cast("array<struct<pos:int,kmer:string>>")
+
+    def shorter(end: Column, most: Column) -> Column:
+        return F.when(most >= min_k, F.transform(F.sequence(F.lit(min_k), F.greatest(most, F.lit(min_k))), lambda k: cut(end, k))).otherwise(none)
+
+    def at(end: Column) -> Column:
+        full = cut(end, F.lit(max_k))
+        return F.when(valid(full["kmer"]), F.array(full)).when(end > min_k, shorter(end, F.lit(max_k - 1))).otherwise(none)
+
+    ends = F.when(n >= max_k, F.flatten(F.transform(F.sequence(F.lit(max_k), F.greatest(n, F.lit(max_k))), at))).otherwise(none)
+    last = F.when(n >= min_k, shorter(n, F.least(n, F.lit(max_k - 1)))).otherwise(none)
+    found = F.filter(F.concat(ends, last), lambda w: valid(w["kmer"]))
+    return df.select(*[c for c in df.columns if c != seq], F.explode(found).alias("w")).select(*[c for c in df.columns if c != seq], "w.pos", F.upper("w.kmer").alias("kmer"))
+
+
+def both_strands(df: DataFrame, mode: str = "compat", kmer: str = "kmer") -> DataFrame:
+    """Each kmer and its reverse complement; those that are their own (by mode) once."""
+    both = F.when(bases.is_own_rc(kmer, mode), F.array(kmer)).otherwise(F.array(F.col(kmer), bases.reverse_complement(kmer)))
+    return df.withColumn(kmer, F.explode(both))
+
+
+def count_db(df: DataFrame, mode: str | None = "compat") -> DataFrame:
+    """(kmer, taxid, cnt) from rows (taxid, kmer); mode of both_strands, null for one strand."""
+    return (both_strands(df, mode) if mode else df).groupBy("kmer", "taxid").agg(F.count("*").alias("cnt"))
+
+
+def read_db(df: DataFrame) -> DataFrame:
+    """(kmer, read, pos) without repeats."""
+    return df.select("kmer", "read", "pos").distinct()
+
+
+def merge_dbs(*dbs: DataFrame) -> DataFrame:
+    out = dbs[0]
+    for db in dbs[1:]:
+        out = out.unionByName(db)
+    return out.groupBy("kmer", "taxid").agg(F.sum("cnt").alias("cnt"))
+
+
+def restrict(db: DataFrame, min_k: int, max_k: int) -> DataFrame:
+    """Kmers of min_k bases at least, cut to max_k; counts of kmers that become equal are summed."""
+    return db.filter(F.length("kmer") >= min_k).withColumn("kmer", F.substring("kmer", 1, max_k)).groupBy("kmer", "taxid").agg(F.sum("cnt").alias("cnt"))
+
+
+def key_range(db: DataFrame, n: int, low: int, high: int) -> DataFrame:
+    """Rows whose key of n bases is in [low, high]; a stored `key` column prunes partitions."""
+    return db.filter((F.col("key") if "key" in db.columns else bases.key("kmer", n)).between(low, high))
+
+
+def numbered_reads(df: DataFrame, order: str = "line", name: str = "name") -> DataFrame:
+    """Number reads in file order: a new number where the name differs from the row before.
+
+    Names are compared within blocks of 1,000,000 lines first, so that no task orders all reads.
+    """
+    block = F.floor(F.col(order) / 1_000_000)
+    within = Window.partitionBy("__block").orderBy(order)
+    rows = df.withColumn("__block", block)
+    lasts = rows.groupBy("__block").agg(F.max_by(name, order).alias("__last"), F.min_by(name, order).alias("__first"))
+    marked = rows.withColumn("__new", F.coalesce((F.col(name) != F.lag(name).over(within)).cast("long"), F.lit(0)))
+    counts = marked.groupBy("__block").agg(F.sum("__new").alias("__n")).join(lasts, "__block")
+    by_block = Window.orderBy("__block")  # one row for each block of a million
+    starts = counts.withColumn("__open", F.coalesce((F.col("__first") != F.lag("__last").over(by_block)).cast("long"), F.lit(1)))
+    starts = starts.withColumn("__base", F.sum(F.col("__open") + F.col("__n")).over(by_block) - F.col("__n") - 1).select("__block", "__base")
+    run = F.sum("__new").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.join(starts, "__block").withColumn("read", (F.col("__base") + run).cast("int")).drop("__block", "__new", "__base")
+
+
+@dataclass(frozen=True)
+class Meta:
+    """What is stored beside a database."""
+
+    min_k: int
+    max_k: int
+    key_len: int
+    kind: str
+    rc: bool
+
+
+def save(db: DataFrame, path: str, meta: Meta, buckets: int = 64) -> None:
+    """Write db as Parquet in directories by bucket of the key, sorted by key and kmer within, and its metadata."""
+    keyed = db.withColumn("key", bases.key("kmer", meta.key_len)).withColumn("bucket", F.floor(F.col("key") * buckets / 4**meta.key_len).cast("int"))
+    keyed.repartitionByRange("key").sortWithinPartitions("bucket", bases.actg("kmer")).write.partitionBy("bucket").parquet(f"{path}/data")
+    db.sparkSession.createDataFrame([(json.dumps(asdict(meta)),)], "value string").coalesce(1).write.text(f"{path}/meta")
+
+
+def load(spark: SparkSession, *paths: str, searched: bool = False) -> tuple[DataFrame, Meta]:
+    """Read one or more databases and merge them.  ValueError if they don't fit together, or if one without both strands is to be searched."""
+    metas = [Meta(**json.loads(spark.read.text(f"{p}/meta").first()[0])) for p in paths]
+    if len(set(metas)) != 1:
+        raise ValueError(f"databases differ: {metas}")
+    if searched and not metas[0].rc:
+        raise ValueError("a database that is searched holds both strands")
+    dbs = [spark.read.parquet(f"{p}/data") for p in paths]
+    if len(dbs) == 1:
+        return dbs[0], metas[0]
+    if metas[0].kind == "counts":
+        return merge_dbs(*[d.select("kmer", "taxid", "cnt") for d in dbs]), metas[0]
+    out = dbs[0]
+    for d in dbs[1:]:
+        out = out.unionByName(d)
+    return out.select("kmer", "read", "pos").distinct(), metas[0]
+
+
+def key_bounds(db: DataFrame, n: int) -> DataFrame:
+    k = bases.key("kmer", n)
+    return db.agg(F.min(k).alias("min_key"), F.max(k).alias("max_key"))
+
+
+def histogram(df: DataFrame, k: int) -> DataFrame:
+    """(key, n) for all 4^k keys, those without kmers too."""
+    counts = df.filter(F.length("kmer") >= k).groupBy(bases.key("kmer", k).alias("key")).agg(F.count("*").alias("n"))
+    return df.sparkSession.range(4**k).select(F.col("id").cast("int").alias("key")).join(counts, "key", "left").fillna(0, ["n"])
