@@ -87,10 +87,10 @@ def apply_differences(a: Column | str, diff: Column) -> Column:
 
 def close_keys(c: Column, n: int, most: int) -> Column:
     """The sorted keys of n bases within `most` differences of key c."""
+    turns = F.transform(F.sequence(F.lit(0), F.lit(4 * n - 1)), lambda k: F.struct((F.floor(k / 4) * 2).cast("int").alias("at"), (k % 4).cast("int").alias("base")))
     found = F.array(c)
     for _ in range(most):
-        turned = F.transform(F.sequence(F.lit(0), F.lit(4 * n - 1)), lambda k: F.struct((F.floor(k / 4) * 2).cast("int").alias("at"), (k % 4).cast("int").alias("base")))
-        found = F.array_distinct(F.flatten(F.transform(found, lambda x, t=turned: F.transform(t, lambda s: _with_base(x, s)))))
+        found = F.array_distinct(F.flatten(F.transform(found, lambda x: F.transform(turns, lambda s: _with_base(x, s)))))
     return F.sort_array(found)
 
 
