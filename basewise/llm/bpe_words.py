@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import in_batches, stash, tidy
 
 #: White space of the tokenizer's regular expressions, and its word pattern.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -110,7 +110,7 @@ def word_counts(docs: DataFrame, added: list[str], text_col: str = "text", least
                         yield flushed()
         yield flushed()
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return in_batches(docs).select(F.col(text_col).alias("text")).mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class WordEncoder:
@@ -138,7 +138,7 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
         for batch in _small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(encoder(batch.column(0).to_pylist()), pa.binary())], ["word", "n", "ids"])
 
-    return words.select("word", "n").mapInArrow(run, "word string, n long, ids binary")
+    return words.select("word", "n").mapInArrow(tidy(run), "word string, n long, ids binary")
 
 
 def _frequent(words: DataFrame, most: int) -> DataFrame:
@@ -226,7 +226,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     said = lambda ids: " ".join(piece_of[k] for k in np.frombuffer(ids, "<u4").tolist())
     codes = spark.sparkContext.broadcast({w: k.to_bytes(4, "little") for k, w in enumerate(common.column("word").to_pylist())})
     table = spark.sparkContext.broadcast((ids_of, [said(x) for x in ids_of], piece_of))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = in_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = Places(codes.value, added)
@@ -268,10 +268,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 out.append((len(whole) // 4, hashlib.sha256(whole).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) if digest else (np.frombuffer(whole, "<u4").astype(np.int32), text))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in out], t) for k, t in enumerate(types))], ["id", *fields])
 
-    found = rows.mapInArrow(rare_words, "id long, hash long, k int, word string").repartition("word").mapInArrow(encode_rare, "id long, hash long, k int, ids binary")
+    found = rows.mapInArrow(tidy(rare_words), "id long, hash long, k int, word string").repartition("word").mapInArrow(tidy(encode_rare), "id long, hash long, k int, ids binary")
     found = found.groupBy("id", "hash").agg(F.collect_list(F.struct("k", "ids")).alias("rare"))
-    joined = rows.mapInArrow(placed, "id long, hash long, codes binary").join(found, ["id", "hash"], "left")
-    filled = joined.select("id", "codes", F.col("rare.k").alias("own"), F.col("rare.ids").alias("ids")).mapInArrow(fill, f"id long, {kind}")
+    joined = rows.mapInArrow(tidy(placed), "id long, hash long, codes binary").join(found, ["id", "hash"], "left")
+    filled = joined.select("id", "codes", F.col("rare.k").alias("own"), F.col("rare.ids").alias("ids")).mapInArrow(tidy(fill), f"id long, {kind}")
     return filled.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id")))
 
 

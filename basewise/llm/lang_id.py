@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import in_batches, tidy
+
 TOP = 300  # n-grams of a profile, and of a document
 BITS = 21  # of a code point
 CHUNK = 1 << 20  # characters counted at once in training
@@ -80,8 +82,8 @@ def profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", to
                 n = np.bincount(place, np.concatenate([x for _, x in parts]), len(codes)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["lang", "code", "n"])
 
-    known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
-    counts = known.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    known = in_batches(docs).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
+    counts = known.mapInArrow(tidy(run), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     return counts.withColumn("place", place - 1).filter(F.col("place") < top).select("lang", "code", "place")
 
@@ -118,9 +120,9 @@ def identify(docs: DataFrame, learned: DataFrame, keep: list[str], text_col: str
             found = [judge(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*keep, "lang_pred", "score"])
 
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
+    rows = in_batches(docs).select(*keep, F.col(text_col).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), f"{fields}, lang_pred string, score double")
 
 
 def held_out() -> Column:

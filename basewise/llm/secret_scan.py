@@ -21,7 +21,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import in_batches, stash, tidy
 
 ROWS_PER_KIND = 120  # labelled findings of each kind that the forest is trained from
 TREES = 50
@@ -191,8 +191,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
 
     path = F.col(path_col) if path_col else F.lit("")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"), path.cast("string").alias("path"))
-    found = rows.mapInArrow(run, "id long, text_hash long, start long, stop long, candidate_sha256 string, values array<double>")
+    rows = in_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"), path.cast("string").alias("path"))
+    found = rows.mapInArrow(tidy(run), "id long, text_hash long, start long, stop long, candidate_sha256 string, values array<double>")
     judged = model.setFeaturesCol("features").transform(found.withColumn("features", array_to_vector("values")))
     return judged.select("id", "text_hash", "start", "stop", "candidate_sha256", vector_to_array("probability")[1].alias("score")).withColumn("secret", F.col("score") > 0.5)
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, utf8
+from .common import in_batches, stash, tidy, utf8
 from .components import connected_components
 
 SEGMENTS = 8
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((_fingerprint(t, shingle, bits) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    return in_batches(docs).select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text")).mapInArrow(tidy(run), "id long, fp long")
 
 
 def _turned(c: Column, by: int) -> Column:
