@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from basewise.functions import bases
 
 
+#: Starts of windows that are cut from one piece of a sequence.
+CHUNK = 4096
+
+
 def runs(df: DataFrame, seq: str = "seq") -> DataFrame:
     """One row for each run of valid bases, upper-cased; lines without one give none."""
     parts = F.regexp_extract_all(F.col(seq), F.lit("([ACGTacgt]+)"), F.lit(1))
@@ -18,13 +22,19 @@ def runs(df: DataFrame, seq: str = "seq") -> DataFrame:
 
 
 def windows(df: DataFrame, min_k: int, max_k: int | None = None, seq: str = "seq") -> DataFrame:
-    """Add pos and kmer: one window of max_k bases from each start, shorter ones to min_k at the end.  Null and short sequences give none."""
+    """Add pos and kmer: one window of max_k bases from each start, shorter ones to min_k at the end.  Null and short sequences give none.
+
+    Sequences are cut into chunks of CHUNK starts first, each with the bases that its last windows reach into; so the work
+    is linear in the length, and no array is longer than a chunk or larger than its sequence.
+    """
     max_k = max_k or min_k
     if not 0 < min_k <= max_k:
         raise ValueError("0 < min_k <= max_k is needed")
-    n = F.length(seq)
-    each = F.transform(F.sequence(F.lit(0), n - min_k), lambda p: F.substr(F.col(seq), p + 1, F.least(F.lit(max_k), n - p)))
-    return df.filter(n >= min_k).select(*[c for c in df.columns if c != seq], F.posexplode(each).alias("pos", "kmer"))
+    kept = [c for c in df.columns if c != seq]
+    ahead = lambda text, low, high, take="": F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{low},{high}}})){take}"), F.lit(1))
+    parts = df.select(*kept, F.posexplode(ahead(seq, min_k, CHUNK + max_k - 1, f".{{1,{CHUNK}}}")).alias("__chunk", "__part"))
+    each = parts.select(*kept, "__chunk", F.posexplode(ahead("__part", min_k, max_k)).alias("__at", "kmer")).filter(F.col("__at") < CHUNK)
+    return each.select(*kept, (F.col("__chunk") * CHUNK + F.col("__at")).alias("pos"), "kmer")
 
 
 def scanner_windows(df: DataFrame, min_k: int, max_k: int, seq: str = "seq") -> DataFrame:

@@ -11,8 +11,12 @@ from .kmers import restrict
 
 
 def exact(search: DataFrame, db: DataFrame, k: int) -> DataFrame:
-    """(kmer, taxid, cnt) for the distinct kmers of search, of length k, that stand in db cut to k."""
-    return search.select("kmer").distinct().join(restrict(db, k, k), "kmer")
+    """(kmer, taxid, cnt) for the distinct kmers of search, of length k, that stand in db cut to k.
+
+    Counts are summed after the join, on its partitioning, so rows of db move once and those without a match are not summed.
+    """
+    cut = db.filter(F.length("kmer") >= k).select(F.substring("kmer", 1, k).alias("kmer"), "taxid", "cnt")
+    return cut.join(search.select("kmer").distinct(), "kmer").groupBy("kmer", "taxid").agg(F.sum("cnt").alias("cnt"))
 
 
 def nearest(search: DataFrame, db: DataFrame, max_diff: int, best: bool = False, dedup_rc: bool = True) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from basewise.functions import bases
 from basewise.operators import analytics, formats, kmers, match, taxonomy
 from basewise.plans import workflows
+from basewise.sources import readers
 
 K, LONG_K, LOW, HIGH, KEY = 12, 16, 10, 14, 6
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,11 +28,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def references(spark: SparkSession, d: str) -> DataFrame:
     suppliers = table(spark, d, "supplier").agg(F.count("*").alias("n"))  # one row
     docs = table(spark, d, "documents").filter("doc_id is not null").crossJoin(F.broadcast(suppliers))
-    return docs.select("doc_id", (1000 + F.col("doc_id") % F.col("n")).cast("int").alias("taxid"), _seq().alias("seq"))
+    return readers.spread(docs.select("doc_id", (1000 + F.col("doc_id") % F.col("n")).cast("int").alias("taxid"), _seq().alias("seq")))
 
 
 def _seq() -> F.Column:
-    return F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^ACGTacgt]", ""))
+    return F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^ACGTacgt]+", ""))
 
 
 def reads(spark: SparkSession, d: str) -> DataFrame:

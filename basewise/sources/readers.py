@@ -84,3 +84,12 @@ def patterns(lines: list[str]) -> list[tuple[str, list[int], list[int], bool]]:
         name = line.split("#", 1)[1].strip() if "#" in line else line.strip()
         out.append((name, [int(t) for t in tokens if t.isdigit()], [int(t[1:]) for t in tokens if t.startswith("!")], "+" in tokens))
     return out
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores; one that has them already is not moved.
+
+    For small inputs of few splits ahead of work that makes many rows of each.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
