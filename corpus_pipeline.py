@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from basewise.llm import bpe_words, lang_id
 from basewise.llm.common import stash, table
 from basewise.llm.decontam import decontaminate
+from basewise.llm.near_copies import hinted, near_copy_groups
 from basewise.llm.secret_scan import redact
-from basewise.llm.simhash import simhash_groups
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate group; of rows that repeat its id, one."""
-    groups = stash(simhash_groups(docs), "pipeline-groups")
+    """Keep the document with the smallest id of each group of near copies (five-word shingles, similarity 0.8 or more); of rows that repeat its id, one."""
+    rows = stash(near_copy_groups(docs).filter("id is not null"), "pipeline-rows")
+    least = stash(rows.groupBy("grp").agg(F.min("id").alias("component"), F.count("*").alias("n")).filter("n > 1").drop("n"), "pipeline-least")
+    groups = stash(rows.join(hinted(least), "grp").select("id", "component"), "pipeline-groups")
     kept = docs.join(groups.filter("id <> component").select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
     repeated = groups.filter("id is not null and id = component").groupBy("id").count().filter("count > 1").select(F.col("id").alias("doc_id"))
     if repeated.isEmpty():
