@@ -56,69 +56,76 @@ def probes(wins: DataFrame, docs: DataFrame, text_col: str = "text", most: int =
     return wins.join(ranked, "wid")
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A hash of a row's id and text; rows with both equal have the same hits."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), text_col)
+
+
 def postings(docs: DataFrame, terms: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index: (term, doc_id, pos, around) of terms (term, key, anchor) in all texts, and of TOTAL with the number of words.
+    """The index: (term, doc_id, row, pos, around) of terms (term, key, anchor) in all texts, and of TOTAL with the number of words.
 
+    row is never null and tells texts apart that share an id, null included.
     around: for anchors, the size - 1 words before the posting, it, and as many behind (fewer at a text's ends, where `first` of them
     stand before); else null.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.array_append(F.split(text, NON_WORD), TOTAL).alias("ws"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row"), F.array_append(F.split(text, NON_WORD), TOTAL).alias("ws"))
     shift = F.when(F.col("ws")[0] == "", 1).otherwise(0)
-    placed = rows.select("doc_id", "ws", F.posexplode("ws").alias("at", "w")).withColumn("key", F.lower("w"))
+    placed = rows.select("doc_id", "row", "ws", F.posexplode("ws").alias("at", "w")).withColumn("key", F.lower("w"))
     terms = terms.union(terms.sparkSession.createDataFrame([(TOTAL, TOTAL, False)], "term string, key string, anchor boolean"))
     hits = placed.join(_hinted(terms, terms.count()), "key").filter((F.col("w") == F.col("term")) | (lower_az("w") == F.col("term")))
     total = F.col("term") == TOTAL
     behind = F.when(total & (F.col("at") > 1) & (F.col("ws")[F.col("at") - 1] == ""), 1).otherwise(0)
     first = F.least(F.col("at"), F.lit(size - 1))
     around = F.when(F.col("anchor"), F.slice("ws", F.col("at") - first + 1, first + size))
-    return hits.select("term", "doc_id", (F.col("at") - shift - behind).cast("int").alias("pos"), first.cast("int").alias("first"), around.alias("around"))
+    return hits.select("term", "doc_id", "row", (F.col("at") - shift - behind).cast("int").alias("pos"), first.cast("int").alias("first"), around.alias("around"))
 
 
 def phrase_matches(index: DataFrame, probed: DataFrame) -> DataFrame:
-    """Return (doc_id, wid, start, size) of every place where a window's words stand in order."""
+    """Return (doc_id, row, wid, start, size) of every place where a window's words stand in order."""
     wins = probed.select("wid", "words", "probes", F.col("probes")[0]["term"].alias("term"), F.col("probes")[0]["offset"].alias("offset"))
     found = index.filter("around is not null").join(_hinted(wins, wins.count()), "term")
     found = found.withColumn("around", F.transform("around", lower_az)).filter("first >= offset and slice(around, first - offset + 1, size(words)) = words")
-    found = found.select("doc_id", "wid", (F.col("pos") - F.col("offset")).alias("start"), F.size("words").alias("size"), "probes")
+    found = found.select("doc_id", "row", "wid", (F.col("pos") - F.col("offset")).alias("start"), F.size("words").alias("size"), "probes")
     for k in range(1, PROBES):
-        lists = index.select("doc_id", "term", "pos")
+        lists = index.select("row", "term", "pos")
         probe = F.col("probes")[k] if k else None
         short = F.size("probes") <= k
         more = found.filter(~short).withColumns({"term": probe["term"], "pos": F.col("start") + probe["offset"]})
-        met = more.join(lists, ["doc_id", "term", "pos"], "left_semi").drop("term", "pos")
+        met = more.join(lists, ["row", "term", "pos"], "left_semi").drop("term", "pos")
         found = met.unionByName(found.filter(short))
-    return found.select("doc_id", "wid", "start", "size")
+    return found.select("doc_id", "row", "wid", "start", "size")
 
 
 def proximity_matches(index: DataFrame, probed: DataFrame, slop: int) -> DataFrame:
-    """Return (doc_id, wid) where a window's rarest terms all stand, each at most slop words from its place beside the rarest.
+    """Return (doc_id, row, wid) where a window's rarest terms all stand, each at most slop words from its place beside the rarest.
 
     Positions are joined by blocks of slop + 1 words, so a term's list is never paired whole with another's.
     """
     block = slop + 1
     wins = probed.select("wid", "probes")
-    lists = index.filter(F.col("term") != TOTAL).select("doc_id", "term", "pos").distinct()
+    lists = index.filter(F.col("term") != TOTAL).select("doc_id", "row", "term", "pos").distinct()
     first = lists.join(_hinted(wins.withColumn("term", F.col("probes")[0]["term"]), wins.count()), "term")
-    near = first.select("doc_id", "wid", "probes", (F.col("pos") - F.col("probes")[0]["offset"]).alias("start"))
+    near = first.select("doc_id", "row", "wid", "probes", (F.col("pos") - F.col("probes")[0]["offset"]).alias("start"))
     for k in range(1, PROBES):
         short = F.size("probes") <= k
         want = near.filter(~short).withColumns({"term": F.col("probes")[k]["term"], "want": F.col("start") + F.col("probes")[k]["offset"]})
         want = want.withColumn("block", F.explode(F.transform(F.array(*[F.lit(x) for x in (-1, 0, 1)]), lambda x: F.floor(F.col("want") / block) + x)))
-        there = lists.withColumn("block", F.floor(F.col("pos") / block))
-        met = want.join(there, ["doc_id", "term", "block"]).filter(F.abs(F.col("pos") - F.col("want")) <= slop)
-        near = met.select("doc_id", "wid", "probes", "start").distinct().unionByName(near.filter(short))
-    return near.select("doc_id", "wid").distinct()
+        there = lists.drop("doc_id").withColumn("block", F.floor(F.col("pos") / block))
+        met = want.join(there, ["row", "term", "block"]).filter(F.abs(F.col("pos") - F.col("want")) <= slop)
+        near = met.select("doc_id", "row", "wid", "probes", "start").distinct().unionByName(near.filter(short))
+    return near.select("doc_id", "row", "wid").distinct()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, slop: int | None = 2, size: int = WINDOW, doc_id: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, slop: int | None = 2, size: int = WINDOW, doc_id: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", by_row: bool = False) -> DataFrame:
     """Return (doc_id, n_words, n_hit, items, near_items) for every document.
 
     n_hit: words inside any occurrence of any window; items: the sorted item ids (as strings) with occurring windows;
     near_items: those with a proximity match (null slop: none).  Null and empty texts have no words;
     items without words have no windows.  Rows that share a doc_id, null included, are one document: hits are pooled and n_words is the
-    largest.  Empty tables give no rows, or rows without hits.
+    largest; by_row keeps their texts apart and returns row (row_key of each) behind doc_id.  Empty tables give no rows, or rows without hits.
     """
+    keys = ["doc_id", "row"] if by_row else ["doc_id"]
     wins = stash(windows(items, item_id, item_text, size), "decontam-windows")
     probed = stash(probes(wins, docs, text_col), "decontam-probes")
     terms = probed.select(F.posexplode("probes").alias("k", "p")).groupBy(F.col("p.term").alias("term")).agg((F.min("k") == 0).alias("anchor"))
@@ -126,23 +133,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, slop: int | None = 2, size:
     index = stash(postings(docs, terms, size, doc_id, text_col), "decontam-index")
     hits = stash(phrase_matches(index, probed), "decontam-hits")
 
-    runs = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("stop")))).alias("runs"))
+    runs = hits.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("stop")))).alias("runs"))
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
     covered = F.aggregate("runs", empty, lambda a, r: F.struct((a["n"] + F.greatest(F.lit(0), r["stop"] - F.greatest(r["start"], a["upto"]))).alias("n"), F.greatest(a["upto"], r["stop"]).alias("upto")))
-    n_hit = runs.select("doc_id", covered["n"].cast("long").alias("n_hit"))
+    n_hit = runs.select(*keys, covered["n"].cast("long").alias("n_hit"))
 
     def item_sets(found: DataFrame, name: str) -> DataFrame:
-        each = found.select("doc_id", "wid").distinct().join(_hinted(wins.select("wid", "items"), wins.count()), "wid").select("doc_id", F.explode("items").alias("item"))
-        return each.groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias(name))
+        each = found.select(*keys, "wid").distinct().join(_hinted(wins.select("wid", "items"), wins.count()), "wid").select(*keys, F.explode("items").alias("item"))
+        return each.groupBy(*keys).agg(F.array_sort(F.collect_set("item")).alias(name))
 
     parts = [n_hit, item_sets(hits, "items")]
     none = F.array().cast("array<string>")
     if slop is not None:
         parts.append(item_sets(proximity_matches(index, probed, slop), "near_items"))
-    n_words = index.filter(F.col("term") == TOTAL).groupBy("doc_id").agg(F.max("pos").cast("long").alias("n_words"))
-    out = reduce(lambda a, b: a.join(b.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id"), parts, n_words)
+    n_words = index.filter(F.col("term") == TOTAL).groupBy(*keys).agg(F.max("pos").cast("long").alias("n_words"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    out = reduce(lambda a, b: a.join(b.withColumnsRenamed({k: f"__{k}" for k in keys}), same, "left").drop(*[f"__{k}" for k in keys]), parts, n_words)
     near = F.coalesce("near_items", none) if slop is not None else none
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), near.alias("near_items"))
+    return out.select(*keys, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), near.alias("near_items"))
 
 
 def op6_query(docs: DataFrame, items: DataFrame) -> DataFrame:

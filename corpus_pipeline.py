@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from basewise.llm import bpe_words, lang_id
 from basewise.llm.common import stash, table
-from basewise.llm.decontam import decontaminate
+from basewise.llm.decontam import decontaminate, row_key
 from basewise.llm.near_copies import hinted, near_copy_groups
 from basewise.llm.secret_scan import redact
 
@@ -34,9 +34,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of a benchmark item."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), slop=None).filter("n_hit > 0").select(F.col("doc_id").alias("__id"))
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """Drop rows that hold a window of a benchmark item; others that share their id, null included, stay."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), slop=None, by_row=True).filter("n_hit > 0").select(F.col("row").alias("__row"))
+    return docs.join(found, row_key() == F.col("__row"), "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
