@@ -100,11 +100,42 @@ def hinted(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= JOINED else df
 
 
+def _joined(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, x, y): pairs with what sets (node, held) holds for each."""
+    wanted = stash(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-wanted")
+    sets = stash(sets.join(hinted(wanted), "node", "left_semi"), "near-checked")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
+    return both.select("a", "b", "x", "y")
+
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(node, held): of each set how many shingles fall into each of 256 parts, as one byte each; 255 stands for more as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.minimum(np.bincount((h.values.to_numpy(zero_copy_only=False) >> 56) & 255, minlength=256), 255).astype(np.uint8).tobytes() for h in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.binary())], ["node", "held"])
+
+    return sets.select("node", "held").mapInArrow(tidy(run), "node long, held binary")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose whole sets are similar enough."""
+    """Those of the distinct pairs (a, b) whose whole sets are similar enough.
+
+    Sketches go first, since they are small: two sets share at most the sum of the lesser counts of their parts.
+    """
     num, den = LEAST
     pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
 
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, 256) for k in (2, 3))
+                most = np.minimum(x, y).sum(1, dtype=np.int64)
+                full = (x == 255).any(1) | (y == 255).any(1)
+                keep = full | ((num + den) * most >= num * (x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -114,10 +145,8 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(den * met >= num * (len(x) + len(y) - met))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = stash(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-wanted")
-    sets = stash(sets.join(hinted(wanted), "node", "left_semi"), "near-checked")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
-    return stash(both.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long"), "near-links")
+    likely = stash(_joined(pairs, _sketches(sets)).mapInArrow(tidy(may), "a long, b long"), "near-likely")
+    return stash(_joined(likely, sets).mapInArrow(tidy(run), "a long, b long"), "near-links")
 
 
 def _fits(a: str, b: str) -> str:
