@@ -59,7 +59,7 @@ def packed(c: Column | str) -> Column:
 
 
 def distance(a: Column, b: Column) -> Column:
-    """The number of places at which two packed kmers of one length differ."""
+    """The number of places at which two packed k-mers of one length differ."""
     x = a.bitwiseXOR(b)
     return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
 

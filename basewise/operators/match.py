@@ -1,4 +1,4 @@
-"""Joins of kmers with a database: exact, and within a number of differences."""
+"""Joins of k-mers with a database: exact, and within a number of differences."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from basewise.functions import bases
 
-from .kmers import restrict
+from .windowing import restrict
 
 
 def exact(search: DataFrame, db: DataFrame, k: int) -> DataFrame:
-    """(kmer, taxid, cnt) for the distinct kmers of search, of length k, that stand in db cut to k.
+    """(kmer, taxid, cnt) for the distinct k-mers of search, of length k, that stand in db cut to k.
 
     Counts are summed after the join, on its partitioning, so rows of db move once and those without a match are not summed.
     """
@@ -20,12 +20,12 @@ def exact(search: DataFrame, db: DataFrame, k: int) -> DataFrame:
 
 
 def nearest(search: DataFrame, db: DataFrame, max_diff: int, best: bool = False, dedup_rc: bool = True) -> DataFrame:
-    """(kmer, match_kmer, dist, diff, taxid, cnt): for each kmer of search, db kmers cut to its length that differ in max_diff places at most.
+    """(kmer, match_kmer, dist, diff, taxid, cnt): for each kmer of search, db k-mers cut to its length that differ in max_diff places at most.
 
-    Two kmers within max_diff agree in one of max_diff + 1 blocks (pigeonhole), on which they are joined; a pair that
+    Two k-mers within max_diff agree in one of max_diff + 1 blocks (pigeonhole), on which they are joined; a pair that
     agrees in several is kept by the first of them, so no distinct is needed.  best keeps the nearest only;
     dedup_rc keeps, of a match and its reverse complement, the nearer one, then the one first in base order.
-    Kmers have 32 bases at most.
+    Rows have 32 bases at most.
     """
     if max_diff < 0:
         raise ValueError("max_diff is 0 or more")
@@ -33,7 +33,7 @@ def nearest(search: DataFrame, db: DataFrame, max_diff: int, best: bool = False,
     wanted = search.select("kmer").distinct().withColumn("len", F.length("kmer"))
     lengths = [r[0] for r in wanted.select("len").distinct().collect()]  # 127 at most
     if any(x > 32 for x in lengths):
-        raise ValueError("kmers have 32 bases at most")
+        raise ValueError("k-mers have 32 bases at most")
     cut = [restrict(db, n, n) for n in lengths]
     if not cut:
         return db.sparkSession.createDataFrame([], "kmer string, match_kmer string, dist int, diff string, taxid int, cnt long")

@@ -1,4 +1,4 @@
-"""Windows over sequences, and databases of kmers in long form: (kmer, taxid, cnt) and (kmer, read, pos)."""
+"""Windows over sequences, and databases of k-mers in long form: (kmer, taxid, cnt) and (kmer, read, pos)."""
 
 from __future__ import annotations
 
@@ -80,7 +80,7 @@ def merge_dbs(*dbs: DataFrame) -> DataFrame:
 
 
 def restrict(db: DataFrame, min_k: int, max_k: int) -> DataFrame:
-    """Kmers of min_k bases at least, cut to max_k; counts of kmers that become equal are summed."""
+    """Rows of min_k bases at least, cut to max_k; counts of k-mers that become equal are summed."""
     return db.filter(F.length("kmer") >= min_k).withColumn("kmer", F.substring("kmer", 1, max_k)).groupBy("kmer", "taxid").agg(F.sum("cnt").alias("cnt"))
 
 
@@ -149,6 +149,6 @@ def key_bounds(db: DataFrame, n: int) -> DataFrame:
 
 
 def histogram(df: DataFrame, k: int) -> DataFrame:
-    """(key, n) for all 4^k keys, those without kmers too."""
+    """(key, n) for all 4^k keys, those without k-mers too."""
     counts = df.filter(F.length("kmer") >= k).groupBy(bases.key("kmer", k).alias("key")).agg(F.count("*").alias("n"))
     return df.sparkSession.range(4**k).select(F.col("id").cast("int").alias("key")).join(counts, "key", "left").fillna(0, ["n"])

@@ -4,22 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from basewise.operators import analytics, kmers, match
+from basewise.operators import analytics, match, windowing
 
 
 def reference_db(seqs: DataFrame, min_k: int, max_k: int | None = None, mode: str = "compat", dust: float | None = None, run: int | None = None) -> DataFrame:
     """(kmer, taxid, cnt) from (taxid, seq), both strands; filters come before the other strand."""
     from basewise.functions import bases
 
-    found = kmers.windows(seqs.select("taxid", "seq"), min_k, max_k)
+    found = windowing.windows(seqs.select("taxid", "seq"), min_k, max_k)
     found = found.filter(bases.passes_dust("kmer", dust)) if dust is not None else found
     found = found.filter(bases.passes_runs("kmer", run)) if run is not None else found
-    return kmers.count_db(found, mode)
+    return windowing.count_db(found, mode)
 
 
 def reads_db(reads: DataFrame, min_k: int, max_k: int | None = None) -> DataFrame:
     """(kmer, read, pos) from (read, seq)."""
-    return kmers.read_db(kmers.windows(reads.select("read", "seq"), min_k, max_k))
+    return windowing.read_db(windowing.windows(reads.select("read", "seq"), min_k, max_k))
 
 
 def find(reads: DataFrame, db: DataFrame, max_diff: int = 0, best: bool = False) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The queries on kmers for the entry module, and the same in DuckDB SQL.
+"""The queries on k-mers for the entry module, and the same in DuckDB SQL.
 
 References are the bases of `documents`, with taxid 1000 + doc_id modulo the number of suppliers; reads are those of `benchmark`; the
 taxonomy is 1 > 10 + region > 100 + nation > 1000 + supplier (species).
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basewise.functions import bases
-from basewise.operators import analytics, formats, kmers, match, taxonomy
+from basewise.operators import analytics, formats, match, taxonomy, windowing
 from basewise.plans import workflows
 from basewise.sources import readers
 
@@ -105,12 +105,12 @@ def s_near(d: int) -> str:
 
 @query(f"WITH {S_D} {s_win('d', 'doc_id', LONG_K)}")
 def kmer_windows(spark, d):
-    return kmers.windows(references(spark, d).select("doc_id", "seq"), LONG_K)
+    return windowing.windows(references(spark, d).select("doc_id", "seq"), LONG_K)
 
 
 @query(f"WITH {S_D} {s_win('d', 'doc_id', LOW, HIGH)}")
 def kmer_windows_variable(spark, d):
-    return kmers.windows(references(spark, d).select("doc_id", "seq"), LOW, HIGH)
+    return windowing.windows(references(spark, d).select("doc_id", "seq"), LOW, HIGH)
 
 
 @query(f"WITH {S_READS} SELECT DISTINCT kmer, {s_key(KEY)} AS key FROM q")
@@ -124,19 +124,19 @@ def reverse_complement(spark, d):
 
 
 @query(f"WITH {S_READS} SELECT DISTINCT kmer, CASE WHEN translate(kmer, 'ACTG', '0123') <= translate({RC}, 'ACTG', '0123') THEN kmer ELSE {RC} END AS canonical FROM q")
-def canonical_kmers(spark, d):
+def canonical_form(spark, d):
     return read_windows(spark, d).select("kmer", bases.canonical("kmer").alias("canonical")).distinct()
 
 
 @query(f"WITH {S_D} SELECT length(kmer) AS len, count(*) FILTER (WHERE {OWN}) AS compat, count(*) FILTER (WHERE kmer = {RC}) AS strict FROM ({s_win('d', 'doc_id', 4, 6)}) GROUP BY 1")
 def own_rc_modes(spark, d):
-    w = kmers.windows(references(spark, d).select("seq"), 4, 6)
+    w = windowing.windows(references(spark, d).select("seq"), 4, 6)
     return w.groupBy(F.length("kmer").cast("long").alias("len")).agg(F.count_if(bases.is_own_rc("kmer")).alias("compat"), F.count_if(bases.is_own_rc("kmer", "strict")).alias("strict"))
 
 
 @query("SELECT item_id, upper(unnest(regexp_extract_all(text, '[ACGTacgt]+'))) AS seq FROM benchmark")
 def acgt_runs(spark, d):
-    return kmers.runs(table(spark, d, "benchmark").select("item_id", F.col("text").alias("seq")))
+    return windowing.runs(table(spark, d, "benchmark").select("item_id", F.col("text").alias("seq")))
 
 
 @query(f"WITH {S_R}, q AS (SELECT DISTINCT kmer FROM ({s_win('r', 'read', LONG_K)})), t AS (SELECT kmer, substring(kmer, CAST(i AS INTEGER), 3) AS tri FROM q, (SELECT unnest(range(1, {LONG_K - 1})) AS i) p), c AS (SELECT kmer, tri, count(*) AS n FROM t GROUP BY kmer, tri) SELECT kmer, CAST(sum(n * (n - 1)) AS INTEGER) AS score FROM c GROUP BY kmer HAVING sum(n * (n - 1)) < 0.2 * {LONG_K} * 2")
@@ -172,27 +172,27 @@ def build_read_db(spark, d):
 @query(f"WITH {s_db()} SELECT kmer, taxid, CAST(2 * cnt AS BIGINT) AS cnt FROM db")
 def merge_dbs(spark, d):
     db = refs_db(spark, d)
-    return kmers.merge_dbs(db, db)
+    return windowing.merge_dbs(db, db)
 
 
 @query(f"WITH {s_db(LOW, HIGH)} SELECT substring(kmer, 1, {K}) AS kmer, taxid, CAST(sum(cnt) AS BIGINT) AS cnt FROM db WHERE length(kmer) >= {LOW + 1} GROUP BY 1, 2")
-def restrict_kmers(spark, d):
-    return kmers.restrict(refs_db(spark, d, LOW, HIGH), LOW + 1, K)
+def restrict_db(spark, d):
+    return windowing.restrict(refs_db(spark, d, LOW, HIGH), LOW + 1, K)
 
 
 @query(f"WITH {s_db()} SELECT kmer, taxid, cnt FROM db WHERE {s_key(KEY)} BETWEEN 1000 AND 1999")
 def key_range_scan(spark, d):
-    return kmers.key_range(refs_db(spark, d), KEY, 1000, 1999)
+    return windowing.key_range(refs_db(spark, d), KEY, 1000, 1999)
 
 
 @query(f"WITH {s_db()} SELECT min({s_key(KEY)}) AS min_key, max({s_key(KEY)}) AS max_key FROM db")
 def db_key_bounds(spark, d):
-    return kmers.key_bounds(refs_db(spark, d), KEY)
+    return windowing.key_bounds(refs_db(spark, d), KEY)
 
 
 @query(f"WITH {S_READS}, k AS (SELECT {s_key(KEY)} AS key FROM ({s_win('r', 'read', KEY)})) SELECT CAST(a.key AS INTEGER) AS key, count(k.key) AS n FROM (SELECT unnest(range(0, {4 ** KEY})) AS key) a LEFT JOIN k ON a.key = k.key GROUP BY 1")
 def short_kmer_histogram(spark, d):
-    return kmers.histogram(kmers.windows(reads(spark, d), KEY), KEY)
+    return windowing.histogram(windowing.windows(reads(spark, d), KEY), KEY)
 
 
 @query(f"WITH {s_db()}, {S_READS}, {S_EXACT} SELECT kmer, taxid, cnt FROM m")
@@ -200,9 +200,9 @@ def exact_match(spark, d):
     return match.exact(read_windows(spark, d), refs_db(spark, d), K)
 
 
-@query(f"WITH {s_db()}, {S_READS}, {S_EXACT} SELECT taxid, count(*) AS kmers, CAST(sum(cnt) AS BIGINT) AS total FROM m GROUP BY taxid")
+@query(f"WITH {s_db()}, {S_READS}, {S_EXACT} SELECT taxid, count(*) AS n_kmer, CAST(sum(cnt) AS BIGINT) AS total FROM m GROUP BY taxid")
 def match_counts(spark, d):
-    return match.exact(read_windows(spark, d), refs_db(spark, d), K).groupBy("taxid").agg(F.count("*").alias("kmers"), F.sum("cnt").alias("total"))
+    return match.exact(read_windows(spark, d), refs_db(spark, d), K).groupBy("taxid").agg(F.count("*").alias("n_kmer"), F.sum("cnt").alias("total"))
 
 
 @query(f"WITH {s_db()} SELECT kmer, taxid, cnt FROM db WHERE kmer IN (SELECT kmer FROM db WHERE taxid % 2 = 0)")

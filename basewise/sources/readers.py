@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewise.operators import kmers
+from basewise.operators import windowing
 
 
 def fasta(spark: SparkSession, path: str, id_ends: str = "[ \t]") -> DataFrame:
@@ -18,7 +18,7 @@ def fasta(spark: SparkSession, path: str, id_ends: str = "[ \t]") -> DataFrame:
 
 def fasta_runs(spark: SparkSession, path: str) -> DataFrame:
     """(acc, seq) for each run of valid bases; the id ends at a dot, space or tab."""
-    return kmers.runs(fasta(spark, path, "[. \t]")).withColumnRenamed("seq_id", "acc")
+    return windowing.runs(fasta(spark, path, "[. \t]")).withColumnRenamed("seq_id", "acc")
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ import gzip
 
 import pytest
 from basewise.functions import bases
-from basewise.operators import analytics, formats, kmers, match, taxonomy
+from basewise.operators import analytics, formats, match, taxonomy, windowing
 from basewise.sources import readers
 from basewise.streaming.matching import count_stream, match_stream
 from pyspark.sql import functions as F
@@ -35,28 +35,28 @@ def found(df):
 
 def test_windows(spark):
     seqs = lambda x: spark.createDataFrame([(1, x), (2, None), (3, "")], "id int, seq string")
-    assert found(kmers.windows(seqs("ACGTA"), 3, 4)) == [(0, "ACGT"), (1, "CGTA"), (2, "GTA")]
-    assert found(kmers.scanner_windows(seqs("ACGNTACG"), 2, 3)) == [(0, "ACG"), (4, "TA"), (4, "TAC"), (5, "ACG"), (6, "CG")]
-    assert found(kmers.scanner_windows(seqs("ACGTNACGT"), 3, 4)) == [(0, "ACGT"), (5, "ACG"), (5, "ACGT"), (6, "CGT")]
-    assert [r.seq for r in kmers.runs(seqs("acgnTACG")).collect()] == ["ACG", "TACG"]
+    assert found(windowing.windows(seqs("ACGTA"), 3, 4)) == [(0, "ACGT"), (1, "CGTA"), (2, "GTA")]
+    assert found(windowing.scanner_windows(seqs("ACGNTACG"), 2, 3)) == [(0, "ACG"), (4, "TA"), (4, "TAC"), (5, "ACG"), (6, "CG")]
+    assert found(windowing.scanner_windows(seqs("ACGTNACGT"), 3, 4)) == [(0, "ACGT"), (5, "ACG"), (5, "ACGT"), (6, "CGT")]
+    assert [r.seq for r in windowing.runs(seqs("acgnTACG")).collect()] == ["ACG", "TACG"]
     with pytest.raises(ValueError):
-        kmers.windows(seqs("A"), 3, 2)
+        windowing.windows(seqs("A"), 3, 2)
 
 
 def test_stored(spark, tmp_path):
-    db = kmers.count_db(spark.createDataFrame([(7, "ACGTAC"), (8, "ACGTAC"), (8, "GGGTTT")], "taxid int, kmer string"))
-    meta = kmers.Meta(6, 6, 4, "counts", True)
+    db = windowing.count_db(spark.createDataFrame([(7, "ACGTAC"), (8, "ACGTAC"), (8, "GGGTTT")], "taxid int, kmer string"))
+    meta = windowing.Meta(6, 6, 4, "counts", True)
     for n in ("a", "b"):
-        kmers.save(db, f"file://{tmp_path}/{n}", meta)
-    kmers.save(db, f"file://{tmp_path}/c", kmers.Meta(6, 6, 4, "counts", False))
-    back, told = kmers.load(spark, f"file://{tmp_path}/a")
+        windowing.save(db, f"file://{tmp_path}/{n}", meta)
+    windowing.save(db, f"file://{tmp_path}/c", windowing.Meta(6, 6, 4, "counts", False))
+    back, told = windowing.load(spark, f"file://{tmp_path}/a")
     assert told == meta and back.select("kmer", "taxid", "cnt").exceptAll(db).count() == 0 and back.count() == db.count()
-    twice, _ = kmers.load(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/b", searched=True)
+    twice, _ = windowing.load(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/b", searched=True)
     assert twice.exceptAll(db.withColumn("cnt", F.col("cnt") * 2)).count() == 0
-    assert kmers.key_range(back, 4, 255, 255).count() == db.filter("kmer like 'GGGG%'").count()
+    assert windowing.key_range(back, 4, 255, 255).count() == db.filter("kmer like 'GGGG%'").count()
     for paths, searched in ((("a", "c"), False), (("c",), True)):
         with pytest.raises(ValueError):
-            kmers.load(spark, *[f"file://{tmp_path}/{p}" for p in paths], searched=searched)
+            windowing.load(spark, *[f"file://{tmp_path}/{p}" for p in paths], searched=searched)
 
 
 def test_classify_and_closer(spark):
@@ -99,7 +99,7 @@ def test_sources(spark, tmp_path):
         f.write("@r1 x\nACGT\n+\n@+II\n@r2\nGG\n+r2\n+@\n@r2\nCC\n+\nII")
     got = readers.fastq(spark, f"file://{tmp_path}/b.fq.gz").orderBy("line").collect()
     assert [(r.name, r.seq, r.qual) for r in got] == [("r1 x", "ACGT", "@+II"), ("r2", "GG", "+@"), ("r2", "CC", "II")]
-    assert [r.read for r in kmers.numbered_reads(readers.fastq(spark, f"file://{tmp_path}/b.fq.gz")).orderBy("line").collect()] == [0, 1, 1]
+    assert [r.read for r in windowing.numbered_reads(readers.fastq(spark, f"file://{tmp_path}/b.fq.gz")).orderBy("line").collect()] == [0, 1, 1]
     assert [tuple(r) for r in readers.tagged(spark, put("o", "5\tacg\n6 TT\n")).collect()] == [(5, "ACG"), (6, "TT")]
     assert [tuple(r) for r in readers.preprocessed(spark, put("p", "5 ~ ACG\n")).collect()] == [(5, "ACG")]
     ids = readers.id_map(spark, put("m", "head\tacc\ttaxid\nz\tx.1\t5\nz\tx.1\t6\n"), skip=1)
