@@ -1,16 +1,15 @@
 """SimHash near-duplicates with pigeonring filtering.
 
-Two 64-bit fingerprints are linked when at most max_bits (1 or 2) bits differ.  Cut a
+Two 64-bit fingerprints are linked when at most max_bits bits differ.  Cut a
 fingerprint into m segments on a ring.  If the differences over all m segments sum to at most d, then
 from some segment on, every chain of l consecutive segments differs in at most
 l * d / m bits (the pigeonring principle).  The first segments of that chain, those with
 l * d / m < 1, must be equal, so they are the join key; each longer chain is checked against its
 own budget before the full distance.
 
-Buckets of the join key with many members are not paired.  There each member names all
-values at most one bit away; two members that name a common value are at most two bits apart, and every such
-pair names one.  At most 65 fingerprints can name a value, so this stays linear in a
-group's size.
+Buckets of the join key with many members get longer keys: the next chain leaves only one bit for all segments behind the
+head, so one half of those bits is equal too, and so on by halves, until a bucket is small or all of them but one are equal.  The
+key then has 55 of 64 bits, and a bucket is bounded by what can differ in the rest.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ from .components import connected_components
 
 SEGMENTS = 8
 WIDTH = 64 // SEGMENTS
-PAIRED = 48  # larger buckets take the linear way
+PAIRED = 48  # larger buckets are split by longer keys
 
 
 def _fingerprint(text: bytes, shingle: int, bits: np.ndarray) -> int:
@@ -64,41 +63,54 @@ def _turned(c: Column, by: int) -> Column:
     return c if by == 0 else F.shiftleft(c, by).bitwiseOR(F.shiftrightunsigned(c, 64 - by))
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
-    """Return (a, b), enough links between representatives to connect all that max_bits connect.
+def _bits(at: Column, width: int) -> Column:
+    """A long with `width` bits from bit `at` on, counted from the top."""
+    return F.call_function("shiftleft", _long((1 << width) - 1), F.lit(64 - width) - at)
 
-    fps: distinct (fp, rep).  Buckets up to PAIRED members give every pair within max_bits;
-    larger ones give a star for each named value.
+
+def _long(x: int) -> Column:
+    return F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
+
+
+def fingerprint_links(fps: DataFrame, max_bits: int = 2, paired: int = PAIRED) -> DataFrame:
+    """Return (a, b), every pair of representatives whose fingerprints differ in 1 to max_bits bits; max_bits is 1 to SEGMENTS - 1.
+
+    fps: distinct (fp, rep).  Buckets of more than `paired` members are split by further equal bits as long as the chain leaves any, so a
+    bucket's size has a bound whatever the input: with two bits, 512 fingerprints.
     """
-    if max_bits not in (1, 2):
-        raise ValueError("max_bits is 1 or 2")
+    if not 1 <= max_bits < SEGMENTS:
+        raise ValueError(f"max_bits is 1 to {SEGMENTS - 1}")
     head = (SEGMENTS - 1) // max_bits  # segments whose budget is below one bit
-    keys = F.array(*[F.struct(F.lit(k).alias("start"), F.shiftrightunsigned(_turned(F.col("fp"), WIDTH * k), 64 - WIDTH * head).alias("key")) for k in range(SEGMENTS)])
-    keyed = fps.select("fp", "rep", F.explode(keys).alias("s")).select("fp", "rep", "s.start", "s.key")
-    shared = keyed.groupBy("start", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = stash(keyed.join(shared, ["start", "key"]), "simhash-members")
-
-    few = members.filter(F.col("n") <= PAIRED)
-    left, right = few.select("start", "key", F.col("fp").alias("x"), F.col("rep").alias("a")), few.select("start", "key", F.col("fp").alias("y"), F.col("rep").alias("b"))
-    differ = F.col("x").bitwiseXOR(F.col("y"))
-    turned = F.coalesce(*[F.when(F.col("start") == k, _turned(differ, WIDTH * k)) for k in range(SEGMENTS)])
-    budgets: dict[int, int] = {}
-    for length in range(head + 1, SEGMENTS):
-        budgets[length * max_bits // SEGMENTS] = length  # the longest chain of a budget implies the shorter ones
-    chains = F.lit(True)
+    budgets = {length * max_bits // SEGMENTS: length for length in range(head + 1, SEGMENTS)}  # the longest chain of a budget implies the shorter ones
+    open_width = WIDTH * (budgets.get(1, head) - head)  # bits behind the head of which one may differ at most
+    starts = F.array(*[F.struct(F.lit(k).alias("start"), _turned(F.col("fp"), WIDTH * k).alias("t")) for k in range(SEGMENTS)])
+    now = fps.select("fp", "rep", F.explode(starts).alias("s")).select("fp", "rep", "s.start", "s.t", _bits(F.lit(0), WIDTH * head).alias("known"), F.lit(WIDTH * head).alias("at"))
+
+    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("start", "known", "key")]
+    z = F.col("l.t").bitwiseXOR(F.col("r.t"))
+    fine = (F.col("l.rep") < F.col("r.rep")) & (F.bit_count(z) <= max_bits)
     for budget, length in budgets.items():
-        chains = chains & (F.bit_count(F.shiftrightunsigned(F.col("z"), 64 - WIDTH * length)) <= budget)
-    paired = left.join(right, ["start", "key"]).filter("a < b").withColumn("z", turned).filter(chains & (F.bit_count("z") <= max_bits)).select("a", "b")
-
-    free = [F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(64)]]
-    many = members.filter(F.col("n") > PAIRED).select("fp", "rep").distinct()
-    if max_bits == 1:  # two that differ in one bit name each other
-        named = many.select("rep", F.explode(F.array(*free)).alias("value"), "fp")
-        star = named.join(many.select(F.col("fp").alias("value"), F.col("rep").alias("b")), "value").select(F.col("rep").alias("a"), "b")
-    else:
-        named = many.select("rep", F.explode(F.array(*free)).alias("value")).groupBy("value").agg(F.collect_list("rep").alias("reps")).filter(F.size("reps") > 1)
-        star = named.select(F.explode("reps").alias("a"), F.array_min("reps").alias("b"))
-    return paired.union(star.filter("a <> b")).distinct()
+        fine = fine & (F.bit_count(F.shiftrightunsigned(z, 64 - WIDTH * length)) <= budget)
+    links = fps.sparkSession.createDataFrame([], "a long, b long")
+    while True:
+        keyed = now.withColumn("key", F.col("t").bitwiseAND(F.col("known")))
+        shared = keyed.groupBy("start", "known", "key").agg(F.count("*").alias("n")).filter("n > 1")
+        members = stash(keyed.join(shared, ["start", "known", "key"]), "simhash-members")
+        last = open_width < 2
+        few = (members if last else members.filter(F.col("n") <= paired)).select("start", "known", "key", "t", "rep")
+        found = few.alias("l").join(few.alias("r"), same[0] & same[1] & same[2] & fine)
+        links = links.union(found.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")))
+        many = members.filter(F.col("n") > paired)
+        if last or many.isEmpty():
+            return links.distinct()
+        half = open_width // 2  # the first half of the open bits or the rest is equal
+        rest = open_width - half
+        parts = [
+            F.struct(F.col("known").bitwiseOR(_bits(F.col("at"), half)).alias("known"), (F.col("at") + half).alias("at")),
+            F.struct(F.col("known").bitwiseOR(_bits(F.col("at") + half, rest)).alias("known"), F.col("at").alias("at")),
+        ]
+        now = many.select("fp", "rep", "start", "t", F.explode(F.array(*parts)).alias("p")).select("fp", "rep", "start", "t", "p.known", "p.at")
+        open_width = rest
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
