@@ -1,9 +1,8 @@
 """BPE encoding and decoding over a distinct-word table.
 
-Documents are split into the tokenizer's words.  Every distinct word is encoded once; its ids come
-back to each place where the word stands.  The most frequent words, a table of bounded size, come back by broadcast;
-each rarer word is dealt by Spark to one task, with the documents that hold it, encoded there, and its ids go back to the documents by a join.
-Ids are decoded through an id-to-piece table of fixed size.
+Documents are split into the tokenizer's words by its own normalizer and pre-tokenizer.  Spark makes one table of all distinct words; each is
+encoded once, and its ids are decoded once, by a join of every id with its piece.  Ids and pieces come back to the places where the
+word stands by position.  The most frequent words, a part of the table of bounded size, come back by broadcast; the rarer ones by a join.
 """
 
 from __future__ import annotations
@@ -12,29 +11,28 @@ import hashlib
 import json
 import os
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_batches, stash, tidy
 
-#: White space of the tokenizer's regular expressions, and its word pattern.
+#: White space of the tokenizer's regular expressions, and its word pattern for ASCII.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
-MARK = "\0"  # before an added token's own string; no word begins so and holds letters
+ASCII_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
+MARK = "\0"  # before an added token's own string
 FREQUENT = 250_000  # words in the broadcast table at most
 FREQUENT_BYTES = 24 << 20  # and bytes of them
-LONGEST = 1_024  # bytes of a word in it at most
 LEAST = 2  # occurrences in some part of a task's texts that a frequent word has
 FLUSH = 200_000  # chunks that a task counts at a time
-KNOWN = 100_000  # chunks or rare words that a task remembers
+KNOWN = 100_000  # chunks that a task remembers
+OFTEN = 1_000  # rows of a word outside the broadcast table from which on they are dealt to several parts
+SPREAD = 16  # parts in which the rows of a rare word meet its ids
 NO_ID = 0x7FFFFFFFFFFFFFFF  # stands for a null id
 
 _spaces = re.compile(f"[{SPACE}]+")
@@ -49,21 +47,28 @@ def chunks(text: str) -> list[str]:
 
 
 class Splitter:
-    """Splits a text into words as the tokenizer's normalizer and pre-tokenizer do."""
+    """Splits a chunk into words, in the byte letters of the tokenizer's vocabulary, by the tokenizer's own normalizer and pre-tokenizer."""
 
-    def __init__(self, added: list[str]):
-        self.words = regex.compile(WORD).findall
-        self.added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-
-    def __call__(self, text: str) -> list[str]:
-        if self.added and "<" in text and (parts := self.added.split(text))[1:]:
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(path)
+        if own.normalizer is None or own.pre_tokenizer is None or [w for w, _ in own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(" Ab  c\n"))] != ["ab", "c"]:
+            raise ValueError("a tokenizer is needed that lower-cases and whose words hold no white space")
+        self.normal, self.parts, self.ascii = own.normalizer.normalize_str, own.pre_tokenizer.pre_tokenize_str, re.compile(ASCII_WORD).findall
+        added = sorted(_added(path), key=len, reverse=True)
+        self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+        self.begins = {x[0] for x in added}
+
+    def __call__(self, chunk: str) -> list[str]:
+        if self.added and not self.begins.isdisjoint(chunk) and (parts := self.added.split(chunk))[1:]:
             return [w for k, part in enumerate(parts) for w in ([MARK + part] if k % 2 else self._plain(part))]
-        return self._plain(text)
+        return self._plain(chunk)
 
-    def _plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # each character is lower-cased alone
-        return [low] if (low := text.lower()).isalpha() else self.words(low)
+    def _plain(self, chunk: str) -> list[str]:
+        if chunk.isascii() and chunk.isprintable():
+            return [low] if (low := chunk.lower()).isalpha() else self.ascii(low)
+        return [w for w, _ in self.parts(self.normal(chunk))]
 
 
 def _added(path: str) -> dict[str, int]:
@@ -82,7 +87,7 @@ def pieces(path: str) -> list[str]:
     return out
 
 
-def word_counts(docs: DataFrame, added: list[str], text_col: str = "text", least: int = 1) -> DataFrame:
+def word_counts(docs: DataFrame, path: str, text_col: str = "text", least: int = 1) -> DataFrame:
     """Return (word, n): how often each distinct word stands in all texts.
 
     least: words that stand less often in all of the parts of a task's texts that are counted together are left out, and
@@ -90,7 +95,7 @@ def word_counts(docs: DataFrame, added: list[str], text_col: str = "text", least
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = Splitter(added), Counter()
+        split, seen = Splitter(path), Counter()
 
         def flushed() -> pa.RecordBatch:
             words: Counter[str] = Counter()
@@ -114,52 +119,53 @@ def word_counts(docs: DataFrame, added: list[str], text_col: str = "text", least
 
 
 class WordEncoder:
-    """Encodes single words."""
+    """Encodes single words, given in byte letters."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and each thread would hold memory
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.added = _added(path)
         self.model = Tokenizer(Tokenizer.from_file(path).model)  # words are normalized and split by now
-        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
-    def __call__(self, words: list[str]) -> list[bytes]:
-        """The ids of each word as little-endian unsigned 32-bit integers."""
-        own = [[self.added[w[1:]]] if w[:1] == MARK and w[1:] in self.added else None for w in words]
-        return [np.array(a or e.ids, "<u4").tobytes() for a, e in zip(own, self.model.encode_batch(words, add_special_tokens=False), strict=True)]
+    def __call__(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word."""
+        own = [[self.added[w[1:]]] if w[:1] == MARK else None for w in words]
+        return [a or e.ids for a, e in zip(own, self.model.encode_batch(words, add_special_tokens=False), strict=True)]
 
 
 def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """Return (word, n, ids) for distinct words (word, n)."""
+    """Return (word, n, ids, said) for distinct words (word, n): the ids, and what they decode to, by a join of each id with its piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(path)
         for batch in _small(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(encoder(batch.column(0).to_pylist()), pa.binary())], ["word", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(encoder(batch.column(0).to_pylist()), pa.list_(pa.int32()))], ["word", "n", "ids"])
 
-    return words.select("word", "n").mapInArrow(tidy(run), "word string, n long, ids binary")
+    coded = stash(words.select("word", "n").mapInArrow(tidy(run), "word string, n long, ids array<int>"), "bpe-words")
+    said = decode(coded, path, "word").select(F.col("id").alias("word"), F.col("text").alias("said"))
+    return stash(coded.join(said, "word"), "bpe-table")
 
 
 def _frequent(words: DataFrame, most: int) -> DataFrame:
     """The most frequent words, bounded in number and bytes; counts from 1,024 on are told apart by their power of two only."""
     level = F.when(F.col("n") < 1_024, F.col("n")).otherwise(1_014 + F.floor(F.log2("n"))).cast("int")
-    short = words.filter(F.octet_length("word") <= LONGEST).withColumn("level", level)
-    by = short.groupBy("level").agg(F.count("*").alias("n"), F.sum(F.octet_length("word")).alias("size")).collect()  # 1,077 rows at most
+    ranked = words.withColumn("level", level)
+    by = ranked.groupBy("level").agg(F.count("*").alias("n"), F.sum(F.octet_length("word")).alias("size")).collect()  # 1,077 rows at most
     room, bytes_, least = most, FREQUENT_BYTES, 2_000
     for lev, n, size in sorted(by, reverse=True):
         room, bytes_ = room - n, bytes_ - size
         if min(room, bytes_) < 0:
             break
         least = lev
-    return short.filter(F.col("level") >= least).select("word", "n")
+    return ranked.filter(F.col("level") >= least).select("word", "n")
 
 
 class Places:
     """Turns a text into word codes of four bytes: a frequent word's number, or, for the k-th of its distinct rare words in sorted order, the table's length + k."""
 
-    def __init__(self, code_of: dict[str, bytes], added: list[str]):
-        self.split, self.code_of = Splitter(added), code_of
+    def __init__(self, code_of: dict[str, bytes], path: str):
+        self.split, self.code_of = Splitter(path), code_of
         self.known = dict(code_of)  # the codes of chunks of frequent words
 
     def _learn(self, chunk: str) -> list[str] | None:
@@ -176,11 +182,9 @@ class Places:
             self.known = dict(self.code_of)
         return self.known
 
-    def rare(self, text: str) -> list[str]:
-        """The distinct rare words, sorted."""
-        return sorted({w for chunk in set(chunks(text)).difference(self._fresh()) for w in self._learn(chunk) or () if w not in self.code_of})
-
-    def __call__(self, text: str) -> bytes:
+    def __call__(self, text: str) -> tuple[bytes, list[str]]:
+        """The codes, and the distinct rare words in sorted order."""
+        rare: list[str] = []
         known, parts = self._fresh(), chunks(text)
         found = list(map(known.get, parts))
         if None in found:
@@ -189,7 +193,7 @@ class Places:
             code = {w: (len(self.code_of) + k).to_bytes(4, "little") for k, w in enumerate(rare)}
             own = {c: b"".join([code[w] if w in code else self.code_of[w] for w in words]) if words else known[c] for c, words in new.items()}
             found = [own[c] if x is None else x for c, x in zip(parts, found, strict=True)]
-        return b"".join(found)
+        return b"".join(found), rare
 
 
 def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -216,62 +220,55 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """Return (id, ids) for every row, with decoded (id, ids, decoded), or with digest (id, n_tokens, ids_sha256, decoded_sha256).
 
     ids are those of the tokenizer in the file path, as array<int>.  Null and empty texts have none.
-    A row is returned for each row, repeated ones and null ids too; other columns are ignored.  At most `frequent` words are
-    broadcast; the rest come back by a join, whatever their number.
+    A row is returned for each row, repeated ones and null ids too; other columns are ignored; an empty table gives no rows.  At most `frequent` words
+    are broadcast; the rest come back by a join, whatever their number.  Words may be of any length.
     """
     spark = docs.sparkSession
-    added, piece_of = list(_added(path)), pieces(path)
-    common = encoded_words(_frequent(stash(word_counts(docs, added, text_col, LEAST), "bpe-counts"), frequent), path).orderBy(F.desc("n"), "word").toArrow()
-    ids_of = common.column("ids").to_pylist()
-    said = lambda ids: " ".join(piece_of[k] for k in np.frombuffer(ids, "<u4").tolist())
-    codes = spark.sparkContext.broadcast({w: k.to_bytes(4, "little") for k, w in enumerate(common.column("word").to_pylist())})
-    table = spark.sparkContext.broadcast((ids_of, [said(x) for x in ids_of], piece_of))
-    rows = in_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = Places(codes.value, added)
-        for batch in _small(batches):
-            found = [place.rare(t) for t in batch.column(2).to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([k for x in found for k in range(len(x))], pa.int32()), pa.array([w for x in found for w in x], pa.string())], ["id", "hash", "k", "word"])
-
-    def encode_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, done = WordEncoder(path), {}
-        for batch in _small(batches):
-            words = batch.column(3).to_pylist()
-            new = list({w for w in words if w not in done})
-            done.update(zip(new, encoder(new), strict=True))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([done[w] for w in words], pa.binary())], ["id", "hash", "k", "ids"])
-            if len(done) > KNOWN:
-                done.clear()
+    common = encoded_words(_frequent(stash(word_counts(docs, path, text_col, LEAST), "bpe-counts"), frequent), path).orderBy(F.desc("n"), "word").toArrow()
+    known = common.column("word").to_pylist()
+    codes = spark.sparkContext.broadcast({w: k.to_bytes(4, "little") for k, w in enumerate(known)})
+    packed = [np.array(x, "<u4").tobytes() for x in common.column("ids").to_pylist()]
+    table = spark.sparkContext.broadcast((packed, common.column("said").to_pylist()))
+    rows = in_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, pack = Places(codes.value, added), Packer().pack
+        place, pack = Places(codes.value, path), Packer().pack
         for batch in _small(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([pack(place(t)) for t in batch.column(2).to_pylist()], pa.binary())], ["id", "hash", "codes"])
+            found = [place(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([pack(c) for c, _ in found], pa.binary()), pa.array([r for _, r in found], pa.list_(pa.string()))], ["row", "id", "codes", "rare"])
 
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string" if decoded else "ids array<int>"
     fields = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"][: 1 + decoded]
     types = [pa.int64(), pa.string(), pa.string()] if digest else [pa.list_(pa.int32()), pa.string()][: 1 + decoded]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, said_of, piece_of = table.value
+        ids_of, said_of = table.value
         n, unpack = len(ids_of), Packer().unpack
         for batch in _small(batches):
             out = []
-            for packed, own, ids in zip(*(c.to_pylist() for c in batch.columns[1:4]), strict=True):
-                rare = dict(zip(own or (), ids or (), strict=True))
-                spoken = {k: " ".join(piece_of[i] for i in np.frombuffer(x, "<u4").tolist()) for k, x in rare.items()} if digest or decoded else {}
+            for packed, own, ids, said in zip(*(c.to_pylist() for c in batch.columns[1:5]), strict=True):
+                rare = {n + k: (np.array(x, "<u4").tobytes(), s) for k, x, s in zip(own or (), ids or (), said or (), strict=True)}
                 at = unpack(packed)
-                whole = b"".join([ids_of[c] if c < n else rare[c - n] for c in at])
-                text = " ".join([said_of[c] if c < n else spoken[c - n] for c in at]) if digest or decoded else ""
+                whole = b"".join([ids_of[c] if c < n else rare[c][0] for c in at])
+                text = " ".join(filter(None, (said_of[c] if c < n else rare[c][1] for c in at))) if digest or decoded else ""
                 out.append((len(whole) // 4, hashlib.sha256(whole).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) if digest else (np.frombuffer(whole, "<u4").astype(np.int32), text))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in out], t) for k, t in enumerate(types))], ["id", *fields])
 
-    found = rows.mapInArrow(tidy(rare_words), "id long, hash long, k int, word string").repartition("word").mapInArrow(tidy(encode_rare), "id long, hash long, k int, ids binary")
-    found = found.groupBy("id", "hash").agg(F.collect_list(F.struct("k", "ids")).alias("rare"))
-    joined = rows.mapInArrow(tidy(placed), "id long, hash long, codes binary").join(found, ["id", "hash"], "left")
-    filled = joined.select("id", "codes", F.col("rare.k").alias("own"), F.col("rare.ids").alias("ids")).mapInArrow(tidy(fill), f"id long, {kind}")
+    places = stash(rows.mapInArrow(tidy(placed), "row long, id long, codes binary, rare array<string>"), "bpe-places")
+    rare = places.select("row", F.posexplode("rare").alias("k", "word"))
+    own = encoded_words(rare.groupBy("word").agg(F.count("*").alias("n")), path)
+    # a word may still be frequent if long ones have filled the broadcast table: its rows are then dealt to several parts
+    often = own.filter(F.col("n") > OFTEN)
+    parts = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > OFTEN, SPREAD - 1).otherwise(0))))
+    if often.isEmpty():
+        salted = rare.withColumn("part", F.lit(0))
+    else:
+        often = F.broadcast(often) if often.agg(F.sum(F.octet_length("word"))).first()[0] <= FREQUENT_BYTES else often
+        salted = rare.join(often.select(F.col("word").alias("often")), F.col("word") == F.col("often"), "left")
+        salted = salted.withColumn("part", F.when(F.col("often").isNull(), 0).otherwise(F.pmod(F.xxhash64("row"), F.lit(SPREAD))).cast("int"))
+    found = salted.join(parts, ["word", "part"]).groupBy("row").agg(F.collect_list(F.struct("k", "ids", "said")).alias("own"))
+    joined = places.select("row", "id", "codes").join(found, "row", "left")
+    filled = joined.select("id", "codes", F.col("own.k").alias("own"), F.col("own.ids").alias("ids"), F.col("own.said").alias("said")).mapInArrow(tidy(fill), f"id long, {kind}")
     return filled.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id")))
 
 

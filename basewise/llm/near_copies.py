@@ -1,13 +1,14 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies: SimHash links, and exact Jaccard similarity of word shingles for what SimHash cannot reach.
 
-Two texts are linked when their sets of five-word shingles have a Jaccard similarity of LEAST or more.  SimHash cannot promise that:
-such pairs differ in up to 14 of 64 bits and more, and a radius that wide has no index that stays linear.  So candidates come by
-prefixes.  With all shingles in one order, two sets that are similar enough share one of their first |set| / 5 + 1
-shingles; every pair that shares one is checked against its whole sets, so no pair is missed and none is linked wrongly.
+Two texts are linked when the SimHash fingerprints of their five-word shingles differ in BITS bits at most (simhash, by pigeonring), or when their
+sets of shingles have a Jaccard similarity of LEAST or more.  SimHash alone cannot promise the second: such pairs differ in up to 14 of 64 bits and
+more, and a radius that wide has no index that stays linear.  So for these candidates come by prefixes.  With all shingles in one order, two sets that
+are similar enough share one of their first |set| / 5 + 1 shingles; every pair that shares one is checked against its whole sets, so no pair is
+missed and none is linked wrongly.
 
 The order puts common shingles last.  It is estimated from a sample of the sets, which decides the cost and never the result.
-Large buckets are not paired: their members are first checked against two leaders, and then only members of different components
-against each other.
+Large buckets are not paired: their members are first checked against two leaders.  Only where a bucket still holds several components are
+its members compared across these, in blocks of bounded size, by sketches of their sets; what may be similar goes on to the whole sets.
 """
 
 from __future__ import annotations
@@ -23,10 +24,13 @@ from pyspark.sql.window import Window
 
 from .common import in_batches, stash, tidy, utf8
 from .components import connected_components
+from .simhash import bit_table, fingerprint_links, majority, shingle_hashes
 
 SHINGLE = 5
 LEAST = (4, 5)  # the least similarity, as a fraction
+BITS = 3  # of two fingerprints that differ, at most
 PAIRED = 48  # larger buckets go by leaders first
+BLOCK = 512  # members of a bucket compared with as many others at a time
 SAMPLED = 0.125  # share of the sets whose shingles are counted for the order
 JOINED = 2_000_000  # nodes or rows that choose among the sets by broadcast at most; more shuffle the sets
 LISTED = 1_000_000  # common shingles of which the order knows the count at most
@@ -34,17 +38,7 @@ LISTED = 1_000_000  # common shingles of which the order knows the count at most
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles; a text of fewer words is one shingle, one without words has none."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    whole = b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(whole, 42)], np.uint64).view(np.int64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = [0, *ends[: len(words) - shingle].tolist()]
-    stops = (ends[shingle - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(whole[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts)).view(np.int64))
+    return np.unique(shingle_hashes(text, shingle).view(np.int64))
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -53,16 +47,18 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Return (id, text_hash, node, held) for every row: the hash of its text, and its shingles with a hash of them all."""
+    """Return (id, text_hash, node, fp, held) for every row: the hash of its text, and its shingles with a hash of them all and their fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bit_table()
         for batch in batches:
             held = [shingles(t, shingle) for t in batch.column(2).to_pylist()]
             node = np.array([xxhash.xxh64_intdigest(h.tobytes(), 7) for h in held], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), _lists(held, pa.int64())], ["id", "text_hash", "node", "held"])
+            fps = np.array([majority(h, bits) if len(h) else 0 for h in held], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array(fps), _lists(held, pa.int64())], ["id", "text_hash", "node", "fp", "held"])
 
     rows = in_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), utf8(text_col).alias("text"))
-    return rows.mapInArrow(tidy(run), "id long, text_hash long, node long, held array<long>")
+    return rows.mapInArrow(tidy(run), "id long, text_hash long, node long, fp long, held array<long>")
 
 
 def _prefixes(sets: DataFrame, common: DataFrame) -> DataFrame:
@@ -119,11 +115,16 @@ def _sketches(sets: DataFrame) -> DataFrame:
     return sets.select("node", "held").mapInArrow(tidy(run), "node long, held binary")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose whole sets are similar enough.
+def _may(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows of sketches x and y may be those of similar sets: two sets share at most the sum of the lesser counts of their parts."""
+    num, den = LEAST
+    most = np.minimum(x, y).sum(1, dtype=np.int64)
+    full = (x == 255).any(1) | (y == 255).any(1)
+    return full | ((num + den) * most >= num * (x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64)))
 
-    Sketches go first, since they are small: two sets share at most the sum of the lesser counts of their parts.
-    """
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose whole sets are similar enough; sketches go first, since they are small."""
     num, den = LEAST
     pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
 
@@ -131,10 +132,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, 256) for k in (2, 3))
-                most = np.minimum(x, y).sum(1, dtype=np.int64)
-                full = (x == 255).any(1) | (y == 255).any(1)
-                keep = full | ((num + den) * most >= num * (x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(_may(x, y)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,6 +147,34 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stash(_joined(likely, sets).mapInArrow(tidy(run), "a long, b long"), "near-links")
 
 
+def _across(placed: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b): pairs of a bucket's members in different components that may be similar; placed: (h, node, component).
+
+    A bucket is cut into blocks, and a task takes two blocks at a time, so no bucket is gathered; only what sketches let by is given out.
+    """
+    blocks = placed.groupBy("h").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    mine = placed.join(hinted(stash(blocks, "near-blocks")), "h").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    wanted = stash(placed.select("node").distinct(), "near-placed")
+    mine = mine.join(_sketches(sets.join(hinted(wanted), "node", "left_semi")), "node")
+    mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mine = mine.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "held")
+
+    def compare(group: pa.Table) -> pa.Table:
+        own, node, component = (group.column(c).to_numpy() for c in ("own", "node", "component"))
+        sketch = np.frombuffer(b"".join(group.column("held").to_pylist()), np.uint8).reshape(-1, 256)
+        low = np.flatnonzero(own == own.min())
+        high = np.flatnonzero(own == own.max())
+        a, b = [], []
+        for k in low.tolist():
+            there = high[(component[high] != component[k]) & ((own[high] != own[k]) | (node[high] > node[k]))]
+            there = there[_may(np.broadcast_to(sketch[k], (len(there), 256)), sketch[there])]
+            a += [node[k]] * len(there)
+            b += node[there].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return mine.groupBy("h", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def _fits(a: str, b: str) -> str:
     """Whether two sets that meet at these prefix places can still share enough: SQL over <a>_size, <a>_pos and so on."""
     num, den = LEAST
@@ -177,18 +203,14 @@ def similar_links(sets: DataFrame) -> DataFrame:
         return links
 
     groups = connected_components(links, "a", "b")
-    placed = many.join(groups, "node", "left").select("h", "node", "size", "pos", F.coalesce("component", "node").alias("component"))
+    placed = many.join(groups, "node", "left").select("h", "node", F.coalesce("component", "node").alias("component"))
     split = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("h")
     placed = stash(placed.join(split, "h"), "near-split")
-    parts = placed.select("h", "component").distinct()
-    met = parts.withColumnRenamed("component", "ca").join(parts.withColumnRenamed("component", "cb"), "h").filter("ca < cb")
-    left, right = _sided(placed, "a", F.col("component").alias("ca")), _sided(placed, "b", F.col("component").alias("cb"))
-    across = met.join(left, ["h", "ca"]).join(right, ["h", "cb"]).filter(_fits("a", "b")).select("a", "b")
-    return links.union(_similar(across, sets))
+    return links.union(_similar(_across(placed, sets), sets))
 
 
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Return (id, text_hash, grp) for every row; rows have one grp when a chain of texts with a similarity of LEAST or more joins them.
+    """Return (id, text_hash, grp) for every row; rows have one grp when a chain of SimHash links and similarities of LEAST or more joins them.
 
     text_hash is xxhash64 of the text.  Null and empty texts have no shingles and are copies of each other; null ids are kept;
     repeated rows give repeated rows; other columns are ignored.
@@ -197,5 +219,9 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     copied = stash(rows.groupBy("node").agg(F.min("uid").alias("first"), F.count("*").alias("n")).filter("n > 1").select("node", "first"), "near-copied")
     extra = stash(rows.select("node", "uid").join(hinted(copied), "node").filter("uid > first").select("uid"), "near-extra")
     sets = rows.select("uid", "node", "held").join(hinted(extra), "uid", "left_anti").select("node", "held")
-    groups = connected_components(similar_links(sets), "a", "b")
+    nodes = sets.filter("size(held) > 0").join(rows.select("node", "fp").distinct(), "node").select("node", "fp")
+    reps = stash(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "near-fingerprints")
+    equal = nodes.join(reps, "fp").filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    links = fingerprint_links(reps, BITS).union(equal).union(similar_links(sets))
+    groups = connected_components(links, "a", "b")
     return rows.select("id", "text_hash", "node").join(hinted(groups), "node", "left").select("id", "text_hash", F.coalesce("component", "node").alias("grp"))

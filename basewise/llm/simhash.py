@@ -30,30 +30,41 @@ WIDTH = 64 // SEGMENTS
 PAIRED = 48  # larger buckets are split by longer keys
 
 
-def _fingerprint(text: bytes, shingle: int, bits: np.ndarray) -> int:
+def bit_table() -> np.ndarray:
+    """The bits of every byte, lowest first."""
+    return np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+
+
+def majority(h: np.ndarray, bits: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: a bit is 1 if it is set in over half of them."""
+    octets = h.view(np.uint8).reshape(-1, 8)  # little-endian: column k holds bits 8k to 8k+7
+    ones = np.concatenate([np.bincount(octets[:, k], minlength=256) @ bits for k in range(8)])
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; of fewer words, of the whole sequence; without words none."""
     words = text.lower().split()  # on bytes: A-Z only, and white space 20, 09-0D only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     whole = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(whole, 42)
+        return np.array([xxhash.xxh64_intdigest(whole, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = [0, *ends[: len(words) - shingle].tolist()]
     stops = (ends[shingle - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(whole[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
-    octets = h.view(np.uint8).reshape(-1, 8)  # little-endian: column k holds bits 8k to 8k+7
-    ones = np.concatenate([np.bincount(octets[:, k], minlength=256) @ bits for k in range(8)])
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
+    return np.fromiter((digest(whole[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """Return (id, fp) for every row; fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+        bits = bit_table()
         for batch in batches:
-            fps = np.fromiter((_fingerprint(t, shingle, bits) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
+            hashes = (shingle_hashes(t, shingle) for t in batch.column(1).to_pylist())
+            fps = np.fromiter((majority(h, bits) if len(h) else 0 for h in hashes), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     return in_batches(docs).select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text")).mapInArrow(tidy(run), "id long, fp long")

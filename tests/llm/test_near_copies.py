@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 import pytest
+import xxhash
 from basewise.llm import near_copies
 
 SF = "/root/testdata/sf0.01"
@@ -12,13 +13,20 @@ def grams(text):
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def similar(a, b):
-    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+def print_of(grams):
+    """The SimHash of distinct shingles."""
+    h = [xxhash.xxh64_intdigest(b" ".join(g), 42) for g in grams]
+    return sum((sum(x >> k & 1 for x in h) * 2 > len(h)) << k for k in range(64))
+
+
+def similar(a, b, x, y):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b) or bool(a and b and (x ^ y).bit_count() <= near_copies.BITS)
 
 
 def components(texts):
     """For each text, the smallest place in the list that a chain of similar texts reaches."""
     sets = [grams(t) for t in texts]
+    fps = [print_of(g) for g in sets]
     out = [None] * len(texts)
     for k in range(len(texts)):
         todo = [k] if out[k] is None else []
@@ -26,7 +34,7 @@ def components(texts):
             x = todo.pop()
             if out[x] is None:
                 out[x] = k
-                todo += [y for y in range(len(texts)) if out[y] is None and similar(sets[x], sets[y])]
+                todo += [y for y in range(len(texts)) if out[y] is None and similar(sets[x], sets[y], fps[x], fps[y])]
     return out
 
 
@@ -50,6 +58,21 @@ def test_groups(spark, monkeypatch, paired):
     assert [first.setdefault(got[k], k) for k in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("block", [near_copies.BLOCK, 3])
+def test_across(spark, block):
+    """Members of one bucket in different components are all compared, whatever the blocks."""
+    from pyspark.sql import functions as F
+
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join(base[:k] + ["edited", str(k)] + base[k + 1 :]) for k in range(5, 100, 5)] + [" ".join(base[:60] + [f"own{k}-{j}" for j in range(60)]) for k in range(20)]
+    sets = near_copies.shingle_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("id", "node", "held").cache()
+    placed = sets.select(F.lit(1).cast("long").alias("h"), "node", (F.col("id") % 3).alias("component"))
+    got = {frozenset(r) for r in near_copies._across(placed, sets.select("node", "held"), block).collect()}
+    rows = [(r.node, r.id % 3, set(r.held)) for r in sets.collect()]
+    want = {frozenset((a, b)) for a, i, x in rows for b, j, y in rows if a < b and i != j and 5 * len(x & y) >= 4 * len(x | y)}
+    assert want and want <= got and len(got) < len(rows) * (len(rows) - 1) // 4
+
+
 def test_stage_drops_near_copies(spark):
     """Of a pair of sf0.01 with a similarity of 0.8 or more that SimHash tells apart, one stays."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id in (2, 56, 709, 944, 3)")
