@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import scratch, stash
 
 SAMPLE = 20_000  # rows that the rotations and radii are fitted to, at most
 LEARNED = 4_096  # of them for a rotation
@@ -248,6 +248,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     returned; an empty table gives no rows; other columns are ignored.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    with scratch(vectors.sparkSession):
+        return stash(_searched(rows, is_query, k), "mih-nearest", kept=True)
+
+
+def _searched(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
     rows = stash(rows.filter(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v")), "mih-rows")
     lengths = sorted(r[0] for r in rows.select(F.size("v")).distinct().collect())
     found = [_of_one_length(rows.filter(F.size("v") == n), is_query, k) for n in lengths]

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_batches, stash, tidy
+from .common import in_batches, scratch, stash, tidy
 
 #: White space of the tokenizer's regular expressions, and its word pattern for ASCII.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -134,7 +134,12 @@ class WordEncoder:
         return [a or e.ids for a, e in zip(own, self.model.encode_batch(words, add_special_tokens=False), strict=True)]
 
 
-def encoded_words(words: DataFrame, path: str) -> DataFrame:
+def _piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """(piece_id, piece), as many rows as the vocabulary has."""
+    return F.broadcast(spark.createDataFrame(list(enumerate(pieces(path))), "piece_id int, piece string"))
+
+
+def encoded_words(words: DataFrame, path: str, kept: bool = False) -> DataFrame:
     """Return (word, n, ids, said) for distinct words (word, n): the ids, and what they decode to, by a join of each id with its piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +147,11 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
         for batch in _small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(encoder(batch.column(0).to_pylist()), pa.list_(pa.int32()))], ["word", "n", "ids"])
 
-    coded = stash(words.select("word", "n").mapInArrow(tidy(run), "word string, n long, ids array<int>"), "bpe-words")
-    said = decode(coded, path, "word").select(F.col("id").alias("word"), F.col("text").alias("said"))
-    return stash(coded.join(said, "word"), "bpe-table")
+    coded = words.select("word", "n").mapInArrow(tidy(run), "word string, n long, ids array<int>")
+    each = coded.select("word", "n", F.posexplode_outer("ids").alias("pos", "piece_id"))
+    spoken = each.join(_piece_table(words.sparkSession, path), "piece_id", "left").groupBy("word", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "piece_id", "piece"))).alias("p"))
+    spoken = spoken.select("word", "n", F.filter("p.piece_id", lambda x: x.isNotNull()).alias("ids"), F.array_join("p.piece", " ").alias("said"))
+    return stash(spoken, "bpe-table", kept)
 
 
 def _frequent(words: DataFrame, most: int) -> DataFrame:
@@ -224,7 +231,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     are broadcast; the rest come back by a join, whatever their number.  Words may be of any length.
     """
     spark = docs.sparkSession
-    common = encoded_words(_frequent(stash(word_counts(docs, path, text_col, LEAST), "bpe-counts"), frequent), path).orderBy(F.desc("n"), "word").toArrow()
+    with scratch(spark):
+        common = encoded_words(_frequent(stash(word_counts(docs, path, text_col, LEAST), "bpe-counts"), frequent), path).orderBy(F.desc("n"), "word").toArrow()
     known = common.column("word").to_pylist()
     codes = spark.sparkContext.broadcast({w: k.to_bytes(4, "little") for k, w in enumerate(known)})
     packed = [np.array(x, "<u4").tobytes() for x in common.column("ids").to_pylist()]
@@ -254,9 +262,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 out.append((len(whole) // 4, hashlib.sha256(whole).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) if digest else (np.frombuffer(whole, "<u4").astype(np.int32), text))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in out], t) for k, t in enumerate(types))], ["id", *fields])
 
-    places = stash(rows.mapInArrow(tidy(placed), "row long, id long, codes binary, rare array<string>"), "bpe-places")
+    places = stash(rows.mapInArrow(tidy(placed), "row long, id long, codes binary, rare array<string>"), "bpe-places", kept=True)
     rare = places.select("row", F.posexplode("rare").alias("k", "word"))
-    own = encoded_words(rare.groupBy("word").agg(F.count("*").alias("n")), path)
+    own = encoded_words(rare.groupBy("word").agg(F.count("*").alias("n")), path, kept=True)
     # a word may still be frequent if long ones have filled the broadcast table: its rows are then dealt to several parts
     often = own.filter(F.col("n") > OFTEN)
     parts = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > OFTEN, SPREAD - 1).otherwise(0))))
@@ -278,10 +286,9 @@ def decode(encoded: DataFrame, path: str, id_col: str = "id", ids_col: str = "id
     Ids without a piece are left out, as the tokenizer does.  Null and empty ids give an empty text.  Rows that share id_col
     are decoded apart.
     """
-    table = encoded.sparkSession.createDataFrame(list(enumerate(pieces(path))), "piece_id int, piece string")
     rows = encoded.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
     rows = stash(rows, "bpe-ids")
-    parts = rows.select("row", F.posexplode("ids").alias("pos", "piece_id")).join(F.broadcast(table), "piece_id")
+    parts = rows.select("row", F.posexplode("ids").alias("pos", "piece_id")).join(_piece_table(encoded.sparkSession, path), "piece_id")
     texts = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("p")).select("row", F.array_join("p.piece", " ").alias("text"))
     return rows.join(texts, "row", "left").select("id", F.coalesce("text", F.lit("")).alias("text"))
 

@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,13 +28,30 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a new table in the shared folder and read it back; this cuts its lineage."""
+_scopes: list[list[str]] = []
+
+
+def stash(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
+    """Write df to a new table in the shared folder and read it back; this cuts its lineage.  kept: it outlives the scope of scratch()."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _scopes and not kept:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A scope at whose end the tables stashed in it are deleted, those of inner scopes and kept ones excepted; its result is a kept one."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def in_batches(df: DataFrame) -> DataFrame:
     """df, once the session's Arrow batches are bounded to BATCH rows, since texts may be long; a smaller setting stays."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

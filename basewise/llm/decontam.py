@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, lower_az, stash
+from .common import NON_WORD, lower_az, scratch, stash
 
 WINDOW = 10
 PROBES = 3  # terms of a window whose lists are intersected one by one, and that a proximity match needs
@@ -161,7 +161,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, slop: int | None = 2, size:
     largest; by_row keeps their texts apart and returns row (row_key of each) behind doc_id.  Empty tables give no rows, or rows without hits; other
     columns are ignored.
     """
-    return search(build_index(docs, doc_id, text_col), items, slop, size, item_id, item_text, by_row)
+    with scratch(docs.sparkSession):
+        return stash(search(build_index(docs, doc_id, text_col), items, slop, size, item_id, item_text, by_row), "decontam-found", kept=True)
 
 
 def op6_query(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import in_batches, stash, tidy, utf8
+from .common import in_batches, scratch, stash, tidy, utf8
 from .components import connected_components
 from .simhash import bit_table, fingerprint_links, majority, shingle_hashes
 
@@ -215,13 +215,15 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text_hash is xxhash64 of the text.  Null and empty texts have no shingles and are copies of each other; null ids are kept;
     repeated rows give repeated rows; other columns are ignored.
     """
-    rows = stash(shingle_sets(docs, id_col, text_col, shingle).withColumn("uid", F.monotonically_increasing_id()), "near-sets")
-    copied = stash(rows.groupBy("node").agg(F.min("uid").alias("first"), F.count("*").alias("n")).filter("n > 1").select("node", "first"), "near-copied")
-    extra = stash(rows.select("node", "uid").join(hinted(copied), "node").filter("uid > first").select("uid"), "near-extra")
-    sets = rows.select("uid", "node", "held").join(hinted(extra), "uid", "left_anti").select("node", "held")
-    nodes = sets.filter("size(held) > 0").join(rows.select("node", "fp").distinct(), "node").select("node", "fp")
-    reps = stash(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "near-fingerprints")
-    equal = nodes.join(reps, "fp").filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    links = fingerprint_links(reps, BITS).union(equal).union(similar_links(sets))
-    groups = connected_components(links, "a", "b")
-    return rows.select("id", "text_hash", "node").join(hinted(groups), "node", "left").select("id", "text_hash", F.coalesce("component", "node").alias("grp"))
+    with scratch(docs.sparkSession):
+        rows = stash(shingle_sets(docs, id_col, text_col, shingle).withColumn("uid", F.monotonically_increasing_id()), "near-sets")
+        copied = stash(rows.groupBy("node").agg(F.min("uid").alias("first"), F.count("*").alias("n")).filter("n > 1").select("node", "first"), "near-copied")
+        extra = stash(rows.select("node", "uid").join(hinted(copied), "node").filter("uid > first").select("uid"), "near-extra")
+        sets = rows.select("uid", "node", "held").join(hinted(extra), "uid", "left_anti").select("node", "held")
+        nodes = sets.filter("size(held) > 0").join(rows.select("node", "fp").distinct(), "node").select("node", "fp")
+        reps = stash(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "near-fingerprints")
+        equal = nodes.join(reps, "fp").filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+        links = fingerprint_links(reps, BITS).union(equal).union(similar_links(sets))
+        groups = connected_components(links, "a", "b")
+        out = rows.select("id", "text_hash", "node").join(hinted(groups), "node", "left").select("id", "text_hash", F.coalesce("component", "node").alias("grp"))
+        return stash(out, "near-groups", kept=True)

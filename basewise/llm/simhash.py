@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, stash, tidy, utf8
+from .common import in_batches, scratch, stash, tidy, utf8
 from .components import connected_components
 
 SEGMENTS = 8
@@ -131,11 +131,13 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows with a null id get their fingerprint and a null component.  Other columns are ignored.  An empty table gives
     no rows.
     """
-    fps = stash(fingerprints(docs, id_col, text_col, shingle), "simhash-fps")
-    reps = stash(fps.filter("id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "simhash-reps")
-    groups = connected_components(fingerprint_links(reps, max_bits), "a", "b")
-    by_fp = reps.join(groups, reps.rep == groups.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return fps.join(by_fp, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+    with scratch(docs.sparkSession):
+        fps = stash(fingerprints(docs, id_col, text_col, shingle), "simhash-fps")
+        reps = stash(fps.filter("id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "simhash-reps")
+        groups = connected_components(fingerprint_links(reps, max_bits), "a", "b")
+        by_fp = reps.join(groups, reps.rep == groups.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
+        out = fps.join(by_fp, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+        return stash(out, "simhash-groups", kept=True)
 
 
 def op7_query(docs: DataFrame) -> DataFrame:

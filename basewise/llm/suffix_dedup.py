@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash, utf8
+from .common import scratch, stash, utf8
 
 LENGTH = 100
 GRAM = 36
@@ -316,7 +316,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     that repeat id and text are one document and get the same result each.  Other columns are ignored; an empty table gives no rows.
     """
     rows = numbered(docs, id_col, text_col)
-    spans = stash(repeated_spans(rows, length, gram, merged, held), "suffix-spans")
+    with scratch(docs.sparkSession):
+        spans = stash(repeated_spans(rows, length, gram, merged, held), "suffix-spans", kept=True)
     by_doc = spans.groupBy("doc", "part").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     kind = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else "n_bytes long, spans array<struct<start: int, stop: int>>, kept binary"
 
