@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import in_batches, scratch, stash, tidy
 
-#: White space of the tokenizer's regular expressions, and its word pattern for ASCII.
+#: White space of the tokenizer's regular expressions, and its word pattern for Latin letters.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-ASCII_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
+LATIN_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017f]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\u017f]+"
+#: Chunks that need no more than that: ASCII, Latin letters that composing and lower-casing treat one by one, dashes and quotation marks.
+LATIN = r"[\x21-\x7e\xc0-\u012f\u0131-\u017f\u2013\u2014\u2018-\u201e]+"
 MARK = "\0"  # before an added token's own string
 FREQUENT = 250_000  # words in the broadcast table at most
 FREQUENT_BYTES = 24 << 20  # and bytes of them
@@ -55,7 +57,10 @@ class Splitter:
         own = Tokenizer.from_file(path)
         if own.normalizer is None or own.pre_tokenizer is None or [w for w, _ in own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(" Ab  c\n"))] != ["ab", "c"]:
             raise ValueError("a tokenizer is needed that lower-cases and whose words hold no white space")
-        self.normal, self.parts, self.ascii = own.normalizer.normalize_str, own.pre_tokenizer.pre_tokenize_str, re.compile(ASCII_WORD).findall
+        self.normal, self.parts = own.normalizer.normalize_str, own.pre_tokenizer.pre_tokenize_str
+        self.latin, self.words = re.compile(LATIN).fullmatch, re.compile(LATIN_WORD).findall
+        wide = [c for c in map(chr, (*range(0xC0, 0x180), *range(0x2013, 0x201F))) if self.latin(c)]
+        self.spelled = str.maketrans({c: "".join(w for w, _ in self.parts(c)) for c in wide})
         added = sorted(_added(path), key=len, reverse=True)
         self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.begins = {x[0] for x in added}
@@ -66,8 +71,9 @@ class Splitter:
         return self._plain(chunk)
 
     def _plain(self, chunk: str) -> list[str]:
-        if chunk.isascii() and chunk.isprintable():
-            return [low] if (low := chunk.lower()).isalpha() else self.ascii(low)
+        if self.latin(chunk):
+            words = [low] if (low := chunk.lower()).isalpha() else self.words(low)
+            return words if low.isascii() else [w.translate(self.spelled) for w in words]
         return [w for w, _ in self.parts(self.normal(chunk))]
 
 
