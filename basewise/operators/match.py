@@ -34,6 +34,9 @@ def nearest(search: DataFrame, db: DataFrame, max_diff: int, best: bool = False,
     lengths = [r[0] for r in wanted.select("len").distinct().collect()]  # 127 at most
     if any(x > 32 for x in lengths):
         raise ValueError("k-mers have 32 bases at most")
+    longest = db.agg(F.max(F.length("kmer"))).first()[0]
+    if lengths and longest is not None and max(lengths) > longest:
+        raise ValueError(f"k-mers of {max(lengths)} bases are searched, the database holds {longest} at most")
     cut = [restrict(db, n, n) for n in lengths]
     if not cut:
         return db.sparkSession.createDataFrame([], "kmer string, match_kmer string, dist int, diff string, taxid int, cnt long")

@@ -38,9 +38,17 @@ def windows(df: DataFrame, min_k: int, max_k: int | None = None, seq: str = "seq
 
 
 def scanner_windows(df: DataFrame, min_k: int, max_k: int, seq: str = "seq") -> DataFrame:
-    """Windows as a one-pass scanner gives them over invalid bases: where a full window is not valid, all its valid suffixes from min_k on; the same at the end."""
+    """Windows as a one-pass scanner gives them over invalid bases: where a full window is not valid, all its valid suffixes from min_k on; the same at the end.
+
+    Sequences are cut into chunks of CHUNK ends first, each with the bases before that its windows reach back to, so no array is longer than a chunk.
+    """
+    kept = [c for c in df.columns if c != seq]
     n, valid = F.length(seq), lambda k: k.rlike("^[ACGTacgt]+$")
-    cut = lambda end, size: F.struct((end - size).alias("pos"), F.substr(F.col(seq), end - size + 1, size).alias("kmer"))
+    firsts = F.when(n >= min_k, F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    chunks = df.select(*kept, seq, n.alias("__n"), F.explode(firsts).alias("__c"))
+    begin = F.greatest(F.col("__c") * CHUNK - max_k, F.lit(0))
+    chunks = chunks.select(*kept, "__n", "__c", begin.alias("__b"), F.substr(F.col(seq), begin + 1, (F.col("__c") + 1) * CHUNK - begin).alias("__s"))
+    cut = lambda end, size: F.struct((end - size).alias("pos"), F.substr(F.col("__s"), end - size - F.col("__b") + 1, size).alias("kmer"))
     none = F.array().cast("array<struct<pos:int,kmer:string>>")
 
     def shorter(end: Column, most: Column) -> Column:
@@ -50,10 +58,16 @@ def scanner_windows(df: DataFrame, min_k: int, max_k: int, seq: str = "seq") ->
         full = cut(end, F.lit(max_k))
         return F.when(valid(full["kmer"]), F.array(full)).when(end > min_k, shorter(end, F.lit(max_k - 1))).otherwise(none)
 
-    ends = F.when(n >= max_k, F.flatten(F.transform(F.sequence(F.lit(max_k), F.greatest(n, F.lit(max_k))), at))).otherwise(none)
-    last = F.when(n >= min_k, shorter(n, F.least(n, F.lit(max_k - 1)))).otherwise(none)
+    low, high = F.greatest(F.col("__c") * CHUNK + 1, F.lit(max_k)), F.least((F.col("__c") + 1) * CHUNK, F.col("__n"))
+    ends = F.when(low <= high, F.flatten(F.transform(F.sequence(low, F.greatest(low, high)), at))).otherwise(none)
+    last = F.when(((F.col("__c") + 1) * CHUNK >= F.col("__n")), shorter(F.col("__n"), F.least(F.col("__n"), F.lit(max_k - 1)))).otherwise(none)
     found = F.filter(F.concat(ends, last), lambda w: valid(w["kmer"]))
-    return df.select(*[c for c in df.columns if c != seq], F.explode(found).alias("w")).select(*[c for c in df.columns if c != seq], "w.pos", F.upper("w.kmer").alias("kmer"))
+    return chunks.select(*kept, F.explode(found).alias("w")).select(*kept, "w.pos", F.upper("w.kmer").alias("kmer"))
+
+
+def standard(df: DataFrame, kmer: str = "kmer") -> DataFrame:
+    """The rows whose kmer is not behind its reverse complement."""
+    return df.filter(bases.is_standard(kmer))
 
 
 def both_strands(df: DataFrame, mode: str = "compat", kmer: str = "kmer") -> DataFrame:
@@ -107,6 +121,16 @@ def numbered_reads(df: DataFrame, order: str = "line", name: str = "name") -> Da
     return marked.join(starts, "__block").withColumn("read", (F.col("__base") + run).cast("int")).drop("__block", "__new", "__base")
 
 
+def reads_with_windows(df: DataFrame, min_k: int, order: str = "line", name: str = "name", seq: str = "seq") -> DataFrame:
+    """numbered_reads of the rows that hold a run of min_k valid bases; the others get no number."""
+    return numbered_reads(df.filter(F.col(seq).rlike(f"[ACGTacgt]{{{min_k}}}")), order, name)
+
+
+def read_names(numbered: DataFrame, name: str = "name") -> DataFrame:
+    """(read, name): the name of every numbered read."""
+    return numbered.groupBy("read").agg(F.first(name).alias("name"))
+
+
 @dataclass(frozen=True)
 class Meta:
     """What is stored beside a database."""
@@ -118,6 +142,22 @@ class Meta:
     rc: bool
 
 
+def check_lengths(search: Meta, db: Meta) -> None:
+    """ValueError unless the lengths that are searched for lie in the database's range."""
+    if search.min_k < db.min_k or search.max_k > db.max_k:
+        raise ValueError(f"lengths {search.min_k} to {search.max_k} are searched, the database holds {db.min_k} to {db.max_k}")
+
+
+def sizes(db: DataFrame) -> DataFrame:
+    """(n, min_k, max_k): the number of rows and the lengths of their shortest and longest kmer."""
+    return db.agg(F.count("*").alias("n"), F.min(F.length("kmer")).alias("min_k"), F.max(F.length("kmer")).alias("max_k"))
+
+
+def key_range_restricted(db: DataFrame, n: int, low: int, high: int, min_k: int, max_k: int) -> DataFrame:
+    """restrict over the rows of key_range, so that only those are read and grouped."""
+    return restrict(key_range(db, n, low, high), min_k, max_k)
+
+
 def save(db: DataFrame, path: str, meta: Meta, buckets: int = 64) -> None:
     """Write db as Parquet in directories by bucket of the key, sorted by key and kmer within, and its metadata."""
     keyed = db.withColumn("key", bases.key("kmer", meta.key_len)).withColumn("bucket", F.floor(F.col("key") * buckets / 4**meta.key_len).cast("int"))

@@ -77,7 +77,7 @@ def s_win(source: str, cols: str, low: int, high: int | None = None) -> str:
 def s_db(low: int = K, high: int | None = None, own: str = OWN, keep: str = "true") -> str:
     return (
         f"{S_D}, w AS (SELECT * FROM ({s_win('d', 'doc_id, taxid', low, high)}) WHERE {keep}), "
-        f"db AS (SELECT kmer, taxid, count(*) AS cnt FROM (SELECT taxid, kmer FROM w UNION ALL SELECT taxid, {RC} FROM w WHERE NOT {own}) GROUP BY kmer, taxid)"
+        f"db AS MATERIALIZED (SELECT kmer, taxid, count(*) AS cnt FROM (SELECT taxid, kmer FROM w UNION ALL SELECT taxid, {RC} FROM w WHERE NOT {own}) GROUP BY kmer, taxid)"
     )
 
 
@@ -85,7 +85,7 @@ def s_key(n: int, kmer: str = "kmer") -> str:
     return "CAST(" + " + ".join(f"{4 ** (n - 1 - i)} * (strpos('ACTG', substring({kmer}, {i + 1}, 1)) - 1)" for i in range(n)) + " AS INTEGER)"
 
 
-S_READS = f"{S_R}, q AS (SELECT DISTINCT read, pos, kmer FROM ({s_win('r', 'read', K)}))"
+S_READS = f"{S_R}, q AS MATERIALIZED (SELECT DISTINCT read, pos, kmer FROM ({s_win('r', 'read', K)}))"
 S_TREE = "tree AS (SELECT 1000 + s_suppkey AS taxid, 100 + s_nationkey AS na, 10 + n_regionkey AS re FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
 S_EXACT = f"m AS (SELECT x.kmer, taxid, cnt FROM (SELECT DISTINCT kmer FROM q) x JOIN db ON x.kmer = db.kmer)"
 S_LCA = "CAST(CASE WHEN count(DISTINCT t.taxid) = 1 THEN min(t.taxid) WHEN count(DISTINCT na) = 1 THEN min(na) WHEN count(DISTINCT re) = 1 THEN min(re) ELSE 1 END AS INTEGER)"
@@ -95,11 +95,11 @@ def s_near(d: int) -> str:
     """Neighbours of each read kmer are made base by base and looked up."""
     out = "n0 AS (SELECT DISTINCT kmer, kmer AS mk FROM q)"
     for k in range(1, d + 1):
-        out += f", n{k} AS (SELECT DISTINCT kmer, substring(mk, 1, CAST(i AS INTEGER)) || b || substring(mk, CAST(i + 2 AS INTEGER)) AS mk FROM n{k - 1}, (SELECT unnest(range(0, {K})) AS i) p, (SELECT unnest(['A', 'C', 'G', 'T']) AS b) l)"
+        out += f", n{k} AS MATERIALIZED (SELECT DISTINCT kmer, substring(mk, 1, CAST(i AS INTEGER)) || b || substring(mk, CAST(i + 2 AS INTEGER)) AS mk FROM n{k - 1}, (SELECT unnest(range(0, {K})) AS i) p, (SELECT unnest(['A', 'C', 'G', 'T']) AS b) l)"
     canonical = "CASE WHEN translate(mk, 'ACTG', '0123') <= translate(translate(reverse(mk), 'ACGT', 'TGCA'), 'ACTG', '0123') THEN mk ELSE translate(reverse(mk), 'ACGT', 'TGCA') END"
     return out + (
-        f", f AS (SELECT kmer, mk, CAST(hamming(kmer, mk) AS INTEGER) AS dist FROM n{d} WHERE mk IN (SELECT kmer FROM db))"
-        f", c AS (SELECT kmer, mk, dist FROM (SELECT *, row_number() OVER (PARTITION BY kmer, {canonical} ORDER BY dist, translate(mk, 'ACTG', '0123')) AS n FROM f) WHERE n = 1)"
+        f", f AS MATERIALIZED (SELECT kmer, mk, CAST(hamming(kmer, mk) AS INTEGER) AS dist FROM n{d} JOIN (SELECT DISTINCT kmer AS known FROM db) ON mk = known)"
+        f", c AS MATERIALIZED (SELECT kmer, mk, dist FROM (SELECT *, row_number() OVER (PARTITION BY kmer, {canonical} ORDER BY dist, translate(mk, 'ACTG', '0123')) AS n FROM f) WHERE n = 1)"
     )
 
 
@@ -205,10 +205,10 @@ def match_counts(spark, d):
     return match.exact(read_windows(spark, d), refs_db(spark, d), K).groupBy("taxid").agg(F.count("*").alias("n_kmer"), F.sum("cnt").alias("total"))
 
 
-@query(f"WITH {s_db()} SELECT kmer, taxid, cnt FROM db WHERE kmer IN (SELECT kmer FROM db WHERE taxid % 2 = 0)")
+@query(f"WITH {s_db()} SELECT db.kmer, taxid, cnt FROM db JOIN (SELECT DISTINCT kmer FROM db) x ON x.kmer = db.kmer")
 def exact_match_ref_ref(spark, d):
     db = refs_db(spark, d)
-    return match.exact(db.filter("taxid % 2 = 0"), db, K)
+    return match.exact(db, db, K)
 
 
 @query(f"WITH {s_db(LOW, HIGH)}, {S_R}, q AS (SELECT DISTINCT kmer FROM ({s_win('r', 'read', LOW, K)})) SELECT q.kmer, taxid, CAST(sum(cnt) AS BIGINT) AS cnt FROM q JOIN db ON substring(db.kmer, 1, length(q.kmer)) = q.kmer AND length(db.kmer) >= length(q.kmer) GROUP BY q.kmer, taxid")
@@ -272,6 +272,56 @@ def species_below(spark, d):
     return taxonomy.species_below(t, taxonomy.lineage(t))
 
 
+@query("SELECT CAST(taxid AS INTEGER) AS taxid, CAST(child AS INTEGER) AS child FROM (SELECT 1 AS taxid, 10 + r_regionkey AS child FROM region UNION ALL SELECT 10 + n_regionkey, 100 + n_nationkey FROM nation UNION ALL SELECT 100 + s_nationkey, 1000 + s_suppkey FROM supplier)")
+def taxonomy_children(spark, d):
+    return taxonomy.children(taxa(spark, d))
+
+
+@query("SELECT CAST(100 + n_nationkey AS INTEGER) AS taxid FROM nation")
+def taxa_of_rank(spark, d):
+    return taxonomy.of_rank(taxa(spark, d), "nation").select("taxid")
+
+
+@query(
+    "SELECT CAST(id AS INTEGER) AS taxid, CAST(CASE WHEN id BETWEEN 500 AND 504 THEN id - 490 ELSE id END AS INTEGER) AS resolved, CASE WHEN id BETWEEN 500 AND 504 OR id BETWEEN 10 AND 14 THEN 'known' WHEN id BETWEEN 600 AND 604 THEN 'deleted' ELSE 'unknown' END AS status "
+    "FROM (SELECT unnest([r_regionkey + 10, r_regionkey + 500, r_regionkey + 600, r_regionkey + 700]) AS id FROM region)"
+)
+def taxon_status(spark, d):
+    """Known, merged (500 on), deleted (600 on) and unknown ids of regions."""
+    keys = table(spark, d, "region").select(F.col("r_regionkey").cast("int").alias("k"))
+    ids = keys.select(F.explode(F.array(*[F.col("k") + n for n in (10, 500, 600, 700)])).alias("taxid"))
+    merged = keys.select((F.col("k") + 500).alias("old"), (F.col("k") + 10).alias("new"))
+    return taxonomy.status(ids, taxa(spark, d), merged, keys.select((F.col("k") + 600).alias("taxid"))).select("taxid", "resolved", "status")
+
+
+S_SCAN = "x AS (SELECT item_id, regexp_replace(coalesce(text, ''), '[^ACGTacgt]', 'N', 'g') AS s FROM benchmark), e AS (SELECT item_id, s, length(s) AS n, unnest(range(1, length(s) + 1)) AS e FROM x)"
+
+
+@query(
+    f"WITH {S_SCAN}, f AS (SELECT *, e >= 3 AND regexp_full_match(substring(s, CAST(e - 2 AS INTEGER), 3), '[ACGTacgt]+') AS whole FROM e), "
+    "w AS (SELECT item_id, e - 3 AS pos, substring(s, CAST(e - 2 AS INTEGER), 3) AS kmer FROM f WHERE whole UNION ALL SELECT item_id, e - 2, substring(s, CAST(e - 1 AS INTEGER), 2) FROM f WHERE e >= 3 AND NOT whole UNION ALL SELECT item_id, n - 2, substring(s, CAST(n - 1 AS INTEGER), 2) FROM f WHERE e = n AND n >= 2) "
+    "SELECT item_id, CAST(pos AS INTEGER) AS pos, upper(kmer) AS kmer FROM w WHERE regexp_full_match(kmer, '[ACGTacgt]+')"
+)
+def scanner_windows(spark, d):
+    rows = table(spark, d, "benchmark").select("item_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[^ACGTacgt]", "N").alias("seq"))
+    return windowing.scanner_windows(rows, 2, 3)
+
+
+@query(f"WITH {s_db()} SELECT kmer, taxid, cnt FROM db WHERE translate(kmer, 'ACTG', '0123') <= translate({RC}, 'ACTG', '0123')")
+def only_standard(spark, d):
+    return windowing.standard(refs_db(spark, d))
+
+
+@query(f"WITH {s_db(LOW, HIGH)} SELECT count(*) AS n, CAST(min(length(kmer)) AS INTEGER) AS min_k, CAST(max(length(kmer)) AS INTEGER) AS max_k FROM db")
+def db_sizes(spark, d):
+    return windowing.sizes(refs_db(spark, d, LOW, HIGH))
+
+
+@query(f"WITH {s_db(LOW, HIGH)} SELECT substring(kmer, 1, {K}) AS kmer, taxid, CAST(sum(cnt) AS BIGINT) AS cnt FROM db WHERE length(kmer) >= {LOW + 1} AND {s_key(KEY)} BETWEEN 1000 AND 1999 GROUP BY 1, 2")
+def key_range_restricted(spark, d):
+    return windowing.key_range_restricted(refs_db(spark, d, LOW, HIGH), KEY, 1000, 1999, LOW + 1, K)
+
+
 S_SIZES = "z AS (SELECT kmer, count(*) AS n FROM db GROUP BY kmer)"
 
 
@@ -307,6 +357,11 @@ def taxa_counts_sampled(spark, d):
     return analytics.taxa_counts_sampled(refs_db(spark, d), probabilities(spark, d)).select("taxid", F.round("matched", 5).alias("matched"), F.round("uniq", 5).alias("uniq"))
 
 
+@query(f"WITH {s_db()}, p AS (SELECT taxid, CAST({S_P} AS DOUBLE) AS p FROM db) SELECT taxid, round(sum(p * (1 - p)), 5) AS variance FROM p GROUP BY taxid")
+def taxa_counts_variance(spark, d):
+    return analytics.taxa_counts_sampled(refs_db(spark, d), probabilities(spark, d)).select("taxid", F.round("variance", 5).alias("variance"))
+
+
 @query()
 def taxa_counts_monte_carlo(spark, d):
     """Rows only: 10 draws of each kmer of 8 bases."""
@@ -370,6 +425,22 @@ def results_text(spark, d):
     return formats.results_text(workflows.find(q, refs_db(spark, d)), q)
 
 
+@query(
+    f"WITH {s_db()}, {S_READS}, {s_near(1)}, a AS (SELECT kmer, string_agg(read || ':' || pos, '|' ORDER BY read, pos) AS p FROM q GROUP BY kmer), "
+    f"b AS (SELECT c.kmer, mk, dist, {S_DIFF.replace('kmer', 'c.kmer')} AS diff, string_agg(taxid || 'x' || cnt, '|' ORDER BY taxid) AS t FROM c JOIN db ON c.mk = db.kmer GROUP BY c.kmer, mk, dist), "
+    "o AS (SELECT kmer, string_agg(diff || '|' || t, ' ' ORDER BY dist, CASE WHEN dist = 0 THEN -1 ELSE CAST(regexp_extract(diff, '^[0-9]+') AS INTEGER) END, translate(right(diff, 1), 'ACTG-', '01234')) AS f FROM b GROUP BY kmer) "
+    "SELECT a.kmer || chr(9) || p || chr(9) || f AS value FROM a JOIN o ON a.kmer = o.kmer"
+)
+def results_text_with_differences(spark, d):
+    w = read_windows(spark, d)
+    return formats.results_text(match.nearest(w, refs_db(spark, d), 1), w)
+
+
+@query(f"WITH {s_db()} SELECT kmer, taxid, cnt FROM db")
+def counts_text_round_trip(spark, d):
+    return formats.parse_counts(formats.counts_text(refs_db(spark, d)))
+
+
 @query(f"WITH {s_db()} SELECT kmer || chr(9) || string_agg(taxid || ':' || cnt, ' ' ORDER BY taxid) AS value FROM db GROUP BY kmer")
 def extract_text(spark, d):
     return formats.counts_text(refs_db(spark, d))

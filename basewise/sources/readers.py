@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basewise.operators import windowing
@@ -22,22 +22,26 @@ def fasta_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(line, name, seq, qual) from records of four lines; line orders records within a file by the place of their bytes.
+    """(line, name, seq, qual); line orders records within a file by the place of their bytes.  Sequences and qualities may run over several lines.
 
-    A record starts at a line `@...`, two lines before one of `+...`; qualities may start with either.
+    A record starts at a line `@...`; its sequence ends at the line `+...`, its quality where it is as long as the sequence.  Text between two
+    `@` at a line's start that has no such `+` belongs to the quality before it.  Records are put together within a file's split and the one
+    before it only, so no task holds more than a file's lines in order.
     """
-    records = spark.read.text(path, lineSep="\n@")
-    parts = F.split(F.regexp_replace("value", "^@", ""), "\r?\n")
-    rows = records.select(F.monotonically_increasing_id().alias("line"), parts.alias("p"))
-    # a quality line that starts with @ breaks a record in two: its first part has three lines, the second is its quality
-    from pyspark.sql import Window
-
-    rows = rows.withColumn("whole", F.size(F.filter("p", lambda x: x != "")) >= 3).withColumn("file", F.floor(F.col("line") / (1 << 33)))
-    after = F.lead(F.struct("whole", "p")).over(Window.partitionBy("file").orderBy("line"))
-    joined = rows.withColumn("after", after).filter("whole")
-    short = F.coalesce(F.get("p", F.lit(3)), F.lit("")) == ""
-    qual = F.when(short & F.col("after").isNotNull() & ~F.col("after.whole"), F.concat(F.lit("@"), F.get("after.p", F.lit(0)))).otherwise(F.get("p", F.lit(3)))
-    return joined.select("line", F.get("p", F.lit(0)).alias("name"), F.get("p", F.lit(1)).alias("seq"), qual.alias("qual"))
+    parts = spark.read.text(path, lineSep="\n@").select(F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", "^@", "").alias("value"))
+    parts = parts.select("line", F.floor(F.col("line") / (1 << 33)).alias("file"), F.split("value", "\r?\n").alias("p"))
+    lines = F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0)))
+    plus = F.array_position(F.transform(lines, lambda x: x.startswith("+")), True).cast("int")
+    seq = F.when(plus > 0, F.array_join(F.slice(lines, 1, F.greatest(plus - 1, F.lit(0))), ""))
+    qual = F.when(plus > 0, F.array_join(F.slice(lines, plus + 1, F.size(lines)), "")).otherwise(F.concat(F.lit("@"), F.array_join("p", "")))
+    read = parts.select("line", "file", F.col("p")[0].alias("name"), seq.alias("seq"), qual.alias("qual"))
+    # a part is a record's start unless the record before still lacks quality; a quality that starts with @ makes a part without a sequence
+    starts = read.withColumn("starts", F.col("seq").isNotNull())
+    near = Window.partitionBy("file").orderBy("line")
+    nxt = F.lead(F.struct("starts", "qual")).over(near)
+    joined = starts.withColumn("after", nxt).filter("starts and seq <> ''")
+    more = (F.length("qual") < F.length("seq")) & F.col("after").isNotNull() & ~F.col("after.starts")
+    return joined.select("line", "name", "seq", F.when(more, F.concat("qual", "after.qual")).otherwise(F.col("qual")).alias("qual"))
 
 
 def tagged(spark: SparkSession, path: str) -> DataFrame:
@@ -86,10 +90,62 @@ def patterns(lines: list[str]) -> list[tuple[str, list[int], list[int], bool]]:
     return out
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores; one that has them already is not moved.
+def taxon_list(spark: SparkSession, path: str) -> DataFrame:
+    """(taxid) from a file of one id a line, as for exclusion lists; empty lines and what is no number go."""
+    return spark.read.text(path).select(F.trim("value").try_cast("int").alias("taxid")).filter("taxid is not null")
+
+
+def taxon_pair(spark: SparkSession, path: str) -> tuple[int, int]:
+    """The two ids of a file of two lines."""
+    rows = taxon_list(spark, path).limit(2).collect()
+    if len(rows) < 2:
+        raise ValueError(f"{path} holds no two taxa")
+    return rows[0][0], rows[1][0]
+
+
+def probability_table(spark: SparkSession, path: str) -> DataFrame:
+    """(taxid, p) from lines `taxid<TAB>p`; of a repeated id the last line counts."""
+    p = F.split("value", "\t")
+    rows = spark.read.text(path).select(p[0].try_cast("int").alias("taxid"), F.get(p, F.lit(1)).try_cast("double").alias("p"), F.monotonically_increasing_id().alias("line"))
+    return rows.filter("taxid is not null and p is not null").groupBy("taxid").agg(F.max_by("p", "line").alias("p"))
+
+
+def part_files(spark: SparkSession, path: str) -> list[str]:
+    """path if there is such a file or folder, else path.1, path.2 and so on as far as they go; FileNotFoundError if there is none."""
+    system = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = lambda name: system.exists(spark._jvm.org.apache.hadoop.fs.Path(name))
+    if there(path):
+        return [path]
+    found = []
+    while there(f"{path}.{len(found) + 1}"):
+        found.append(f"{path}.{len(found) + 1}")
+    if not found:
+        raise FileNotFoundError(path)
+    return found
+
+
+def mapped_fasta(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """(taxid, seq) of records whose id is in ids (seq_id, taxid, line); of a repeated id the last line counts, records without one go."""
+    last = ids.groupBy("seq_id").agg(F.max_by("taxid", "line").alias("taxid"))
+    return fasta(spark, path).join(last, "seq_id").select("taxid", "seq")
+
+
+def save_sequences(seqs: DataFrame, path: str) -> None:
+    """Write (acc, taxid, seq) as Parquet in one folder for each of the 100 numbers that the last two digits of accessions make; without digits, 0."""
+    index = F.coalesce(F.regexp_extract("acc", "([0-9]{1,2})[^0-9]*$", 1).try_cast("int"), F.lit(0))
+    seqs.withColumn("index", index).repartition("index", F.pmod(F.xxhash64("acc"), F.lit(16))).write.partitionBy("index").parquet(path)
+
+
+def stored_sequences(spark: SparkSession, path: str, low: int = 0, high: int = 99) -> DataFrame:
+    """(acc, taxid, seq, index) of the folders from low to high, both included; others are not read."""
+    return spark.read.parquet(path).filter(F.col("index").between(low, high))
+
+
+def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """df over at least as many partitions as there are cores; one whose files make as many splits already is not moved.
 
     For small inputs of few splits ahead of work that makes many rows of each.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    spark = df.sparkSession
+    cores = parts or spark.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
