@@ -1,8 +1,9 @@
-"""BPE encoding and decoding over a distinct-word table.
+"""BPE encoding and decoding over distinct words.
 
-Documents are split into the tokenizer's words by its own normalizer and pre-tokenizer.  Spark makes one table of all distinct words; each is
-encoded once, and its ids are decoded once, by a join of every id with its piece.  Ids and pieces come back to the places where the
-word stands by position.  The most frequent words, a part of the table of bounded size, come back by broadcast; the rarer ones by a join.
+Documents are split into the tokenizer's words by its own rules.  The most frequent words make a table of bounded size: each is encoded once, and
+what its ids decode to comes by a join of every id with its piece; ids and pieces come back by broadcast.  Each rarer word is dealt by Spark to one
+task, in sorted order, encoded there once, and its ids go back to the places in its documents by a join; their pieces are looked up in the same
+id-to-piece table, broadcast, as it has as many rows as the vocabulary.
 """
 
 from __future__ import annotations
@@ -33,8 +34,6 @@ FREQUENT_BYTES = 24 << 20  # and bytes of them
 LEAST = 2  # occurrences in some part of a task's texts that a frequent word has
 FLUSH = 200_000  # chunks that a task counts at a time
 KNOWN = 100_000  # chunks that a task remembers
-OFTEN = 1_000  # rows of a word outside the broadcast table from which on they are dealt to several parts
-SPREAD = 16  # parts in which the rows of a rare word meet its ids
 NO_ID = 0x7FFFFFFFFFFFFFFF  # stands for a null id
 
 _spaces = re.compile(f"[{SPACE}]+")
@@ -195,9 +194,11 @@ class Places:
             self.known = dict(self.code_of)
         return self.known
 
-    def __call__(self, text: str) -> tuple[bytes, list[str]]:
-        """The codes, and the distinct rare words in sorted order."""
-        rare: list[str] = []
+    def rare(self, text: str) -> list[str]:
+        """The distinct rare words, sorted."""
+        return sorted({w for chunk in set(chunks(text)).difference(self._fresh()) for w in self._learn(chunk) or () if w not in self.code_of})
+
+    def __call__(self, text: str) -> bytes:
         known, parts = self._fresh(), chunks(text)
         found = list(map(known.get, parts))
         if None in found:
@@ -206,7 +207,7 @@ class Places:
             code = {w: (len(self.code_of) + k).to_bytes(4, "little") for k, w in enumerate(rare)}
             own = {c: b"".join([code[w] if w in code else self.code_of[w] for w in words]) if words else known[c] for c, words in new.items()}
             found = [own[c] if x is None else x for c, x in zip(parts, found, strict=True)]
-        return b"".join(found), rare
+        return b"".join(found)
 
 
 def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -240,49 +241,59 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     with scratch(spark):
         common = encoded_words(_frequent(stash(word_counts(docs, path, text_col, LEAST), "bpe-counts"), frequent), path).orderBy(F.desc("n"), "word").toArrow()
     known = common.column("word").to_pylist()
-    codes = spark.sparkContext.broadcast({w: k.to_bytes(4, "little") for k, w in enumerate(known)})
+    codes = spark.sparkContext.broadcast({w: k.to_bytes(4, "little") for k, w in enumerate(common.column("word").to_pylist())})
     packed = [np.array(x, "<u4").tobytes() for x in common.column("ids").to_pylist()]
-    table = spark.sparkContext.broadcast((packed, common.column("said").to_pylist()))
-    rows = in_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    table = spark.sparkContext.broadcast((packed, common.column("said").to_pylist(), pieces(path)))
+    rows = in_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = Places(codes.value, path)
+        for batch in _small(batches):
+            found = [place.rare(t) for t in batch.column(2).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([k for x in found for k in range(len(x))], pa.int32()), pa.array([w for x in found for w in x], pa.string())], ["id", "hash", "k", "word"])
+
+    def encode_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by word, so each distinct word is encoded once and only the last is remembered."""
+        encoder, last, ids = WordEncoder(path), None, b""
+        for batch in _small(batches):
+            words = batch.column(3).to_pylist()
+            new = [w for w, before in zip(words, [last, *words], strict=False) if w != before]
+            fresh = iter(encoder(new))
+            out = []
+            for w in words:
+                if w != last:
+                    last, ids = w, np.array(next(fresh), "<u4").tobytes()
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["id", "hash", "k", "ids"])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, pack = Places(codes.value, path), Packer().pack
         for batch in _small(batches):
-            found = [place(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([pack(c) for c, _ in found], pa.binary()), pa.array([r for _, r in found], pa.list_(pa.string()))], ["row", "id", "codes", "rare"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([pack(place(t)) for t in batch.column(2).to_pylist()], pa.binary())], ["id", "hash", "codes"])
 
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string" if decoded else "ids array<int>"
     fields = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"][: 1 + decoded]
     types = [pa.int64(), pa.string(), pa.string()] if digest else [pa.list_(pa.int32()), pa.string()][: 1 + decoded]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, said_of = table.value
+        ids_of, said_of, piece_of = table.value
         n, unpack = len(ids_of), Packer().unpack
         for batch in _small(batches):
             out = []
-            for packed, own, ids, said in zip(*(c.to_pylist() for c in batch.columns[1:5]), strict=True):
-                rare = {n + k: (np.array(x, "<u4").tobytes(), s) for k, x, s in zip(own or (), ids or (), said or (), strict=True)}
-                at = unpack(packed)
-                whole = b"".join([ids_of[c] if c < n else rare[c][0] for c in at])
-                text = " ".join(filter(None, (said_of[c] if c < n else rare[c][1] for c in at))) if digest or decoded else ""
+            for codes_, own, ids in zip(*(c.to_pylist() for c in batch.columns[1:4]), strict=True):
+                rare = {n + k: x for k, x in zip(own or (), ids or (), strict=True)}
+                spoken = {c: " ".join(piece_of[i] for i in np.frombuffer(x, "<u4").tolist()) for c, x in rare.items()} if digest or decoded else {}
+                at = unpack(codes_)
+                whole = b"".join([ids_of[c] if c < n else rare[c] for c in at])
+                text = " ".join([said_of[c] if c < n else spoken[c] for c in at]) if digest or decoded else ""
                 out.append((len(whole) // 4, hashlib.sha256(whole).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) if digest else (np.frombuffer(whole, "<u4").astype(np.int32), text))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in out], t) for k, t in enumerate(types))], ["id", *fields])
 
-    places = stash(rows.mapInArrow(tidy(placed), "row long, id long, codes binary, rare array<string>"), "bpe-places", kept=True)
-    rare = places.select("row", F.posexplode("rare").alias("k", "word"))
-    own = encoded_words(rare.groupBy("word").agg(F.count("*").alias("n")), path, kept=True)
-    # a word may still be frequent if long ones have filled the broadcast table: its rows are then dealt to several parts
-    often = own.filter(F.col("n") > OFTEN)
-    parts = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > OFTEN, SPREAD - 1).otherwise(0))))
-    if often.isEmpty():
-        salted = rare.withColumn("part", F.lit(0))
-    else:
-        often = F.broadcast(often) if often.agg(F.sum(F.octet_length("word"))).first()[0] <= FREQUENT_BYTES else often
-        salted = rare.join(often.select(F.col("word").alias("often")), F.col("word") == F.col("often"), "left")
-        salted = salted.withColumn("part", F.when(F.col("often").isNull(), 0).otherwise(F.pmod(F.xxhash64("row"), F.lit(SPREAD))).cast("int"))
-    found = salted.join(parts, ["word", "part"]).groupBy("row").agg(F.collect_list(F.struct("k", "ids", "said")).alias("own"))
-    joined = places.select("row", "id", "codes").join(found, "row", "left")
-    filled = joined.select("id", "codes", F.col("own.k").alias("own"), F.col("own.ids").alias("ids"), F.col("own.said").alias("said")).mapInArrow(tidy(fill), f"id long, {kind}")
+    found = rows.mapInArrow(tidy(rare_words), "id long, hash long, k int, word string").repartition("word").sortWithinPartitions("word")
+    found = found.mapInArrow(tidy(encode_rare), "id long, hash long, k int, ids binary").groupBy("id", "hash").agg(F.collect_list(F.struct("k", "ids")).alias("rare"))
+    joined = rows.mapInArrow(tidy(placed), "id long, hash long, codes binary").join(found, ["id", "hash"], "left")
+    filled = joined.select("id", "codes", F.col("rare.k").alias("own"), F.col("rare.ids").alias("ids")).mapInArrow(tidy(fill), f"id long, {kind}")
     return filled.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id")))
 
 
