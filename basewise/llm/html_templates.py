@@ -44,7 +44,12 @@ WORDS = frozenset(
     "pagination pager widget widgets login skip".split()
 )
 SPEAKERS = frozenset("comment comments reply replies disqus".split())
-WITH = frozenset("with has no without".split())
+#: Words that say where or in what form something stands, and nothing of what it is.
+NEUTRAL = frozenset(
+    "site page main top bottom left right center inner outer upper lower global primary secondary fixed sticky floating js c l u o is block box bar area wrap wrapper container content "
+    "section region panel row col column list item items link links button buttons btn icon icons group set title heading text form field input count thread posts articles stories topics "
+    "mobile desktop small large big mini first last slot unit space bottombar the my app".split()
+)
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 
 
@@ -60,6 +65,7 @@ class Page:
         self.texts: list[tuple[int, int, str]] = []
         self.block = 0
         self.open = [0]
+        self.at: dict[str, list[int]] = {}  # where open elements of each name stand in open
         self.marks: list[list[str]] = [[]]
         at = 0
         while at < len(source):
@@ -98,31 +104,28 @@ class Page:
                 self.texts.append((self.open[-1], self.block, " "))
             return
         self.elements.append([name, self.open[-1], no_text(name, attributes), 0, name in TEXT_TAGS])
+        self.at.setdefault(name, []).append(len(self.open))
         self.open.append(len(self.elements) - 1)
         self.marks.append([f"<{name}>"])
 
     def _close(self, names: tuple[str, ...], fence: tuple[str, ...]) -> None:
         """End the nearest open element of names, unless one of fence is nearer."""
-        for k in range(len(self.open) - 1, 0, -1):
-            tag = self.elements[self.open[k]][0]
-            if tag in names:
-                while len(self.open) > k:
-                    self._pop()
-                return
-            if tag in fence:
-                return
+        nearest = max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+        if nearest and nearest > max((self.at[n][-1] for n in fence if self.at.get(n)), default=0):
+            while len(self.open) > nearest:
+                self._pop()
 
     def _end(self, name: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.elements[self.open[k]][0] == name:
-                while len(self.open) > k:
-                    self._pop()
-                break
+        if places := self.at.get(name):
+            nearest = places[-1]
+            while len(self.open) > nearest:
+                self._pop()
         if name in BLOCK:
             self.block += 1
 
     def _pop(self) -> None:
         own, mark = self.elements[self.open.pop()], self.marks.pop()
+        self.at[own[0]].pop()
         own[3] = xxhash.xxh64_intdigest("\0".join(mark).encode("utf-8", "replace")) - (1 << 63)
         self.marks[-1].append(str(own[3]))
         self.elements[own[1]][4] |= own[4]
@@ -131,21 +134,17 @@ class Page:
 
     def regions(self) -> list[bool]:
         """For each element, whether it stands in the page's article; all do where none is marked."""
+        under = [False] * len(self.elements)  # whether the element or one around it holds no text
+        for k, (_, parent, bare, _, _) in enumerate(self.elements):
+            under[k] = k > 0 and (bare or under[parent])
         for marked in ("article", "main"):
             inside = [False] * len(self.elements)
             for k, (tag, parent, bare, _, _) in enumerate(self.elements):
-                inside[k] = k > 0 and not bare and (inside[parent] or (tag == marked and not self._bare(parent)))
+                inside[k] = k > 0 and not bare and (inside[parent] or (tag == marked and not under[parent]))
             if any(inside):
                 return inside
         return [True] * len(self.elements)
 
-    def _bare(self, k: int) -> bool:
-        while k > 0:
-            if self.elements[k][2]:
-                return True
-            k = self.elements[k][1]
-        return False
-
     def hashes(self) -> list[int]:
         """The different hashes of subtrees that may be template."""
         return list({own[3] for own, may in zip(self.elements, self._removable(), strict=True) if may})
@@ -168,7 +167,10 @@ class Page:
 
 
 def no_text(name: str, attributes: str) -> bool:
-    """Whether tag, role, class, id or hiding of an element say that it holds no article text."""
+    """Whether tag, role, class, id or hiding of an element say that it holds no article text.
+
+    A class or id counts when all its parts do: `site-header` and `cookie-notice` say so, `share-price` and `header-image-post` do not.
+    """
     if name in NO_TEXT:
         return True
     if not attributes.strip() or name in ("html", "body", "main"):
@@ -177,8 +179,8 @@ def no_text(name: str, attributes: str) -> bool:
     if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
         return True
     for own in f"{found.get('class', '')} {found.get('id', '')}".split():
-        parts = set(re.split(r"[^a-z0-9]+", own))
-        if parts & (SPEAKERS if name == "article" else WORDS) and not parts & WITH:
+        parts = {x for x in re.split(r"[^a-z0-9]+", own) if not x.isdigit()} - {""}
+        if parts & (SPEAKERS if name == "article" else WORDS) and parts <= WORDS | SPEAKERS | NEUTRAL:
             return True
     return False
 

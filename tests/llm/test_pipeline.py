@@ -7,7 +7,8 @@ import pytest
 from basewise.llm import bpe_words, lang_id
 from pyspark.sql import functions as F
 
-from tests.llm.test_ops import SF, WORD, fingerprint, lower
+from tests.llm.test_near_copies import components
+from tests.llm.test_ops import SF, WORD, lower
 
 
 @pytest.fixture(scope="module")
@@ -28,19 +29,9 @@ def test_stages(spark, docs):
             want = sum(bool(re.search(r"[^\W\d_]", r.text or "")) for r in before)
             assert abs(out.count() - want) <= 2
         if name == "simhash_near_dedup":
-            own = sorted({(r.doc_id, fingerprint(r.text)) for r in before if r.doc_id is not None})
-            seen = dict.fromkeys(i for i, _ in own)
-            first: set[int] = set()
-            for i, fp in own:
-                if seen[i] is None:
-                    first.add(i)
-                    todo = [(i, fp)]
-                    while todo:
-                        j, x = todo.pop()
-                        if seen[j] is None:
-                            seen[j] = i
-                            todo += [o for o in own if (o[1] ^ x).bit_count() <= 2]
-            assert sorted(r.doc_id for r in out.filter("doc_id is not null").collect()) == sorted(first)
+            own = dict(sorted((r.doc_id, r.text) for r in before if r.doc_id is not None))
+            groups = components(list(own.values()))
+            assert sorted(r.doc_id for r in out.filter("doc_id is not null").collect()) == [i for k, i in enumerate(own) if groups[k] == k]
             assert out.filter("doc_id is null").count() == 1
         if name == "benchmark_decontamination":
             sizes = {len(g) for g in windows}
