@@ -85,7 +85,7 @@ def profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", to
     known = in_batches(docs).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
     counts = known.mapInArrow(tidy(run), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
-    return counts.withColumn("place", place - 1).filter(F.col("place") < top).select("lang", "code", "place")
+    return counts.withColumn("nth", place).filter(F.col("nth") <= top).select("lang", "code", (F.col("nth") - 1).alias("place"))
 
 
 def identify(docs: DataFrame, learned: DataFrame, keep: list[str], text_col: str = "text", top: int = TOP) -> DataFrame:
