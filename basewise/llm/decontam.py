@@ -1,7 +1,8 @@
 """Benchmark decontamination over a distributed positional inverted index of the training text.
 
-The index stores a posting (term, row, pos) for every word of every text, each part of it sorted by the terms' hashes, so that a term's list is found
-by the statistics of the files, and long lists lie in many parts.  It does not depend on a benchmark and serves any number of them.
+The index stores a posting (term, row, pos) for every word of every text; a term's list lies over all parts, in the order of rows and positions, so no
+list is long in one part and a build holds no part whole.  It does not depend on a benchmark and serves any number of them: the lists of all
+terms that a step needs are read by one scan of the term column, joined with these terms.
 
 A window of a test item is found by intersecting lists: the list of its rarest term gives the places where it may start; a place stays when, for
 every other word of the window, the word's list, shifted by its offset in the window, holds it too.  The next rarest words come first, one
@@ -48,7 +49,7 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return the stored index: (hash, term, row, pos, doc_id, key), a posting for every word of every text; hash is xxhash64 of the term.
+    """Return the stored index: (term, row, pos, doc_id, key), a posting for every word of every text.
 
     row tells rows apart, also those that share an id or hold the same text; pos counts words from 0.  A posting of TOTAL has the text's number of
     words as pos, its doc_id, and row_key as key; these two are null elsewhere.  Null and empty texts have only that posting.
@@ -62,7 +63,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     term = F.when(F.lower("w") == F.col("w"), F.col("w")).otherwise(lower_az("w"))
     pos = F.col("at") - F.col("first") - F.when(total, F.col("last")).otherwise(0)
     postings = each.select(term.alias("term"), "row", pos.cast("int").alias("pos"), F.when(total, F.col("doc_id")).alias("doc_id"), F.when(total, F.col("key")).alias("key"))
-    return stash(postings.select(F.xxhash64("term").alias("hash"), "*").sortWithinPartitions("hash"), "decontam-index")
+    return stash(postings, "decontam-index")
 
 
 def _lists(index: DataFrame, terms: DataFrame) -> DataFrame:
