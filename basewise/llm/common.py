@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Rows of whole texts that a task takes at a time.
-BATCH = 1_000
+#: Rows of whole texts, and bytes of them, that a task takes at a time; a longer text is a batch of its own.
+BATCH = 256
+BATCH_BYTES = 1 << 20
 #: Everything that is not part of a word, before A-Z is lower-cased.
 NON_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -54,11 +55,20 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def _size(value: str) -> int:
+    """A number, or a size as Spark writes it (64m, 67108864b)."""
+    digits = value.strip().lower().removesuffix("b")
+    power = "kmgtp".find(digits[-1:]) + 1
+    return int(digits[:-1] if power else digits) << 10 * power
+
+
 def in_batches(df: DataFrame) -> DataFrame:
-    """df, once the session's Arrow batches are bounded to BATCH rows, since texts may be long; a smaller setting stays."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH:
-        conf.set(key, str(BATCH))
+    """df, once the session's Arrow batches are bounded to BATCH rows and BATCH_BYTES, since texts may be long; smaller settings stay."""
+    conf = df.sparkSession.conf
+    for what, most in (("Records", BATCH), ("Bytes", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.max{what}PerBatch"
+        if not 0 < _size(conf.get(key)) <= most:
+            conf.set(key, str(most))
     return df
 
 
