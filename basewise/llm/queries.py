@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_mih, bpe_words, decontam, html_templates, lang_id, license_scan, secret_scan, simhash, suffix_dedup, url_filter
+from . import align, ann_mih, bpe_words, decontam, html_templates, lang_id, license_scan, merkle, secret_scan, simhash, suffix_dedup, url_filter, window_dedup
 from .common import table
 
 
@@ -54,6 +54,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_words.op10_query(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.op11_query(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.op12_query(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.op13_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_nearest": op2_nearest,
@@ -66,8 +78,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_bpe": op10_bpe,
+    "op11_window_dedup": op11_window_dedup,
+    "op12_merkle": op12_merkle,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_decontamination": decontam.ORACLE,
+    "op11_window_dedup": window_dedup.ORACLE,
+    "op12_merkle": merkle.ORACLE,
 }
