@@ -64,6 +64,17 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
 
 
+def packed_words(c: Column | str) -> Column:
+    """A kmer of any length as an array of longs, 32 bases each."""
+    c = col(c)
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.length(c) / 32).cast("int") - 1), lambda i: packed(F.substr(c, i * 32 + 1, F.lit(32))))
+
+
+def words_distance(a: Column, b: Column) -> Column:
+    """The number of places at which two k-mers of one length, as arrays of packed words, differ."""
+    return F.aggregate(F.zip_with(a, b, distance), F.lit(0), lambda n, d: n + d)
+
+
 def differences(a: Column | str, b: Column | str) -> Column:
     """Where b differs from a, over a's length: an array of (pos, base)."""
     a, b = col(a), col(b)

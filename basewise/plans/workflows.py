@@ -22,15 +22,15 @@ def reads_db(reads: DataFrame, min_k: int, max_k: int | None = None) -> DataFram
     return windowing.read_db(windowing.windows(reads.select("read", "seq"), min_k, max_k))
 
 
-def find(reads: DataFrame, db: DataFrame, max_diff: int = 0, best: bool = False) -> DataFrame:
-    """Matches of a read database of one or more lengths; of one length and without differences by an equi-join."""
+def find(reads: DataFrame, db: DataFrame, max_diff: int = 0, best: bool = False, held: match.Lengths | None = None) -> DataFrame:
+    """Matches of a read database of one or more lengths; of one length and without differences by an equi-join.  held: the lengths of db, if known; ValueError if others are searched."""
     from pyspark.sql import functions as F
 
     low, high = reads.agg(F.min(F.length("kmer")), F.max(F.length("kmer"))).first()
     if low is not None and low == high and max_diff == 0:
-        return match.exact(reads, db, low).select("kmer", F.col("kmer").alias("match_kmer"), F.lit(0).alias("dist"), F.lit("-").alias("diff"), "taxid", "cnt")
-    return match.nearest(reads, db, max_diff, best)
+        return match.exact(reads, db, low, held).select("kmer", F.col("kmer").alias("match_kmer"), F.lit(0).alias("dist"), F.lit("-").alias("diff"), "taxid", "cnt")
+    return match.nearest(reads, db, max_diff, best, held=held)
 
 
-def classify_reads(reads: DataFrame, db: DataFrame) -> DataFrame:
-    return analytics.classify(analytics.collect_by_read(reads, find(reads, db)))
+def classify_reads(reads: DataFrame, db: DataFrame, held: match.Lengths | None = None) -> DataFrame:
+    return analytics.classify(analytics.collect_by_read(reads, find(reads, db, held=held)))

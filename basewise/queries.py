@@ -16,7 +16,7 @@ from basewise.operators import analytics, formats, match, taxonomy, windowing
 from basewise.plans import workflows
 from basewise.sources import readers
 
-K, LONG_K, LOW, HIGH, KEY = 12, 16, 10, 14, 6
+K, LONG_K, WIDE, LOW, HIGH, KEY = 12, 16, 40, 10, 14, 6
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -197,29 +197,29 @@ def short_kmer_histogram(spark, d):
 
 @query(f"WITH {s_db()}, {S_READS}, {S_EXACT} SELECT kmer, taxid, cnt FROM m")
 def exact_match(spark, d):
-    return match.exact(read_windows(spark, d), refs_db(spark, d), K)
+    return match.exact(read_windows(spark, d), refs_db(spark, d), K, held=(K, K))
 
 
 @query(f"WITH {s_db()}, {S_READS}, {S_EXACT} SELECT taxid, count(*) AS n_kmer, CAST(sum(cnt) AS BIGINT) AS total FROM m GROUP BY taxid")
 def match_counts(spark, d):
-    return match.exact(read_windows(spark, d), refs_db(spark, d), K).groupBy("taxid").agg(F.count("*").alias("n_kmer"), F.sum("cnt").alias("total"))
+    return match.exact(read_windows(spark, d), refs_db(spark, d), K, held=(K, K)).groupBy("taxid").agg(F.count("*").alias("n_kmer"), F.sum("cnt").alias("total"))
 
 
 @query(f"WITH {s_db()} SELECT db.kmer, taxid, cnt FROM db JOIN (SELECT DISTINCT kmer FROM db) x ON x.kmer = db.kmer")
 def exact_match_ref_ref(spark, d):
     db = refs_db(spark, d)
-    return match.exact(db, db, K)
+    return match.exact(db, db, K, held=(K, K))
 
 
 @query(f"WITH {s_db(LOW, HIGH)}, {S_R}, q AS (SELECT DISTINCT kmer FROM ({s_win('r', 'read', LOW, K)})) SELECT q.kmer, taxid, CAST(sum(cnt) AS BIGINT) AS cnt FROM q JOIN db ON substring(db.kmer, 1, length(q.kmer)) = q.kmer AND length(db.kmer) >= length(q.kmer) GROUP BY q.kmer, taxid")
 def prefix_match_variable(spark, d):
-    return match.nearest(read_windows(spark, d, LOW, K), refs_db(spark, d, LOW, HIGH), 0).select("kmer", "taxid", "cnt")
+    return match.nearest(read_windows(spark, d, LOW, K), refs_db(spark, d, LOW, HIGH), 0, held=(LOW, HIGH)).select("kmer", "taxid", "cnt")
 
 
 for _d in (1, 2):
 
     def _all(spark, d, most=_d):
-        return match.nearest(read_windows(spark, d), refs_db(spark, d), most, dedup_rc=False).select("kmer", "match_kmer", "dist", "taxid", "cnt")
+        return match.nearest(read_windows(spark, d), refs_db(spark, d), most, dedup_rc=False, held=(K, K)).select("kmer", "match_kmer", "dist", "taxid", "cnt")
 
     _all.__name__ = f"nearest_all_d{_d}"
     query(f"WITH {s_db()}, {S_READS}, {s_near(_d)} SELECT f.kmer, mk AS match_kmer, dist, taxid, cnt FROM f JOIN db ON f.mk = db.kmer")(_all)
@@ -227,12 +227,41 @@ for _d in (1, 2):
 
 @query(f"WITH {s_db()}, {S_READS}, {s_near(1)}, b AS (SELECT kmer, min(dist) AS least FROM c GROUP BY kmer) SELECT c.kmer, mk AS match_kmer, dist, taxid, cnt FROM c JOIN b ON c.kmer = b.kmer AND dist = least JOIN db ON c.mk = db.kmer")
 def nearest_best(spark, d):
-    return match.nearest(read_windows(spark, d), refs_db(spark, d), 1, best=True).select("kmer", "match_kmer", "dist", "taxid", "cnt")
+    return match.nearest(read_windows(spark, d), refs_db(spark, d), 1, best=True, held=(K, K)).select("kmer", "match_kmer", "dist", "taxid", "cnt")
 
 
 @query(f"WITH {s_db()}, {S_READS}, {s_near(2)} SELECT c.kmer, mk AS match_kmer, dist, count(*) AS taxa FROM c JOIN db ON c.mk = db.kmer GROUP BY 1, 2, 3")
 def nearest_rc_dedup(spark, d):
-    return match.nearest(read_windows(spark, d), refs_db(spark, d), 2).groupBy("kmer", "match_kmer", "dist").agg(F.count("*").alias("taxa"))
+    return match.nearest(read_windows(spark, d), refs_db(spark, d), 2, held=(K, K)).groupBy("kmer", "match_kmer", "dist").agg(F.count("*").alias("taxa"))
+
+
+S_VAR = (
+    f"{s_db(LOW, HIGH)}, {S_R}, q AS (SELECT DISTINCT kmer FROM ({s_win('r', 'read', LOW, HIGH)})), z AS (SELECT DISTINCT length(kmer) AS n FROM q), "
+    "p AS MATERIALIZED (SELECT n, substring(db.kmer, 1, CAST(n AS INTEGER)) AS mk, taxid, CAST(sum(cnt) AS BIGINT) AS cnt FROM db JOIN z ON length(db.kmer) >= n GROUP BY 1, 2, 3), "
+    f"v AS (SELECT kmer, kmer AS mk FROM q UNION SELECT kmer, substring(kmer, 1, CAST(i AS INTEGER)) || b || substring(kmer, CAST(i + 2 AS INTEGER)) FROM q, (SELECT unnest(range(0, {HIGH})) AS i) p, (SELECT unnest(['A', 'C', 'G', 'T']) AS b) l WHERE i < length(kmer))"
+)
+
+
+@query(f"WITH {S_VAR} SELECT v.kmer, v.mk AS match_kmer, CAST(hamming(v.kmer, v.mk) AS INTEGER) AS dist, taxid, cnt FROM v JOIN p ON v.mk = p.mk AND length(v.kmer) = n")
+def nearest_variable_d1(spark, d):
+    """Reads of 10 to 14 bases, each against the database cut to its length, with one difference."""
+    m = match.nearest(read_windows(spark, d, LOW, HIGH), refs_db(spark, d, LOW, HIGH), 1, dedup_rc=False, held=(LOW, HIGH))
+    return m.select("kmer", "match_kmer", "dist", "taxid", "cnt")
+
+
+S_WIDE = f"db AS MATERIALIZED (SELECT kmer, taxid, count(*) AS cnt FROM (SELECT taxid, kmer FROM ({s_win('d', 'taxid', WIDE)}) UNION ALL SELECT taxid, {RC} FROM ({s_win('d', 'taxid', WIDE)}) WHERE NOT {OWN}) GROUP BY kmer, taxid)"
+
+
+@query(
+    f"WITH {S_D}, {S_WIDE}, {S_R}, q AS (SELECT DISTINCT kmer FROM ({s_win('r', 'read', WIDE)})), k AS (SELECT DISTINCT kmer AS mk FROM db), "
+    + "x AS ("
+    + " UNION ".join(f"SELECT q.kmer, k.mk FROM q JOIN k ON substring(q.kmer, {a + 1}, {b - a}) = substring(k.mk, {a + 1}, {b - a})" for a, b in ((0, 13), (13, 26), (26, 40)))
+    + ") SELECT x.kmer, x.mk AS match_kmer, CAST(hamming(x.kmer, x.mk) AS INTEGER) AS dist, taxid, cnt FROM x JOIN db ON x.mk = db.kmer WHERE hamming(x.kmer, x.mk) <= 2"
+)
+def nearest_wide_d2(spark, d):
+    """K-mers of 40 bases, packed into two words."""
+    m = match.nearest(read_windows(spark, d, WIDE), refs_db(spark, d, WIDE), 2, dedup_rc=False, held=(WIDE, WIDE))
+    return m.select("kmer", "match_kmer", "dist", "taxid", "cnt")
 
 
 S_DIFF = "CASE WHEN kmer = mk THEN '-' ELSE " + " || ".join(f"CASE WHEN substring(kmer, {i + 1}, 1) <> substring(mk, {i + 1}, 1) THEN '{i}' || substring(mk, {i + 1}, 1) ELSE '' END" for i in range(K)) + " END"
@@ -240,12 +269,12 @@ S_DIFF = "CASE WHEN kmer = mk THEN '-' ELSE " + " || ".join(f"CASE WHEN substrin
 
 @query(f"WITH {s_db()}, {S_READS}, {s_near(1)} SELECT DISTINCT kmer, mk AS match_kmer, {S_DIFF} AS diff FROM c")
 def kmer_diff_string(spark, d):
-    return match.nearest(read_windows(spark, d), refs_db(spark, d), 1).select("kmer", "match_kmer", "diff").distinct()
+    return match.nearest(read_windows(spark, d), refs_db(spark, d), 1, held=(K, K)).select("kmer", "match_kmer", "diff").distinct()
 
 
 @query(f"WITH {s_db()}, {S_READS}, {s_near(1)} SELECT DISTINCT kmer, mk AS rebuilt FROM c")
 def diff_apply(spark, d):
-    m = match.nearest(read_windows(spark, d), refs_db(spark, d), 1)
+    m = match.nearest(read_windows(spark, d), refs_db(spark, d), 1, held=(K, K))
     return m.select("kmer", bases.apply_differences("kmer", bases.parse_differences("diff")).alias("rebuilt")).distinct()
 
 
@@ -381,19 +410,19 @@ def taxa_counts_patterns(spark, d):
 
 @query(f"WITH {s_db()}, {S_READS}, {s_near(1)}, g AS (SELECT c.kmer, min(CASE WHEN taxid = 1001 THEN dist END) AS dist_a, min(CASE WHEN taxid = 1002 THEN dist END) AS dist_b FROM c JOIN db ON c.mk = db.kmer GROUP BY c.kmer) SELECT dist_a, dist_b, count(*) AS n FROM g GROUP BY 1, 2")
 def closer_counts(spark, d):
-    return analytics.closer_counts(match.nearest(read_windows(spark, d), refs_db(spark, d), 1), 1001, 1002)
+    return analytics.closer_counts(match.nearest(read_windows(spark, d), refs_db(spark, d), 1, held=(K, K)), 1001, 1002)
 
 
 @query(f"WITH {s_db()}, {S_READS}, {S_EXACT} SELECT kmer, taxid, cnt FROM m WHERE taxid NOT IN (1001, 1002)")
 def limit_matches(spark, d):
     listed = spark.createDataFrame([(1001,), (1002,)], "taxid int")
-    return match.limit(match.exact(read_windows(spark, d), refs_db(spark, d), K), listed).select("kmer", "taxid", "cnt")
+    return match.limit(match.exact(read_windows(spark, d), refs_db(spark, d), K, held=(K, K)), listed).select("kmer", "taxid", "cnt")
 
 
 @query(f"WITH {s_db()}, {S_READS}, {S_EXACT}, {S_TREE} SELECT kmer, taxid, cnt FROM m WHERE taxid <> 1003 AND taxid NOT IN (SELECT taxid FROM tree WHERE re = 11)")
 def limit_matches_below(spark, d):
     listed = spark.createDataFrame([(11,), (1003,)], "taxid int")
-    return match.limit_below(match.exact(read_windows(spark, d), refs_db(spark, d), K), listed, taxonomy.lineage(taxa(spark, d))).select("kmer", "taxid", "cnt")
+    return match.limit_below(match.exact(read_windows(spark, d), refs_db(spark, d), K, held=(K, K)), listed, taxonomy.lineage(taxa(spark, d))).select("kmer", "taxid", "cnt")
 
 
 @query(
@@ -401,12 +430,12 @@ def limit_matches_below(spark, d):
     f"y AS (SELECT u.kmer, upto, x.taxid FROM u JOIN x ON u.kmer = x.kmer AND dist <= upto) SELECT y.kmer, upto AS dist, {S_LCA} AS lca FROM y LEFT JOIN tree t ON y.taxid = t.taxid GROUP BY 1, 2 HAVING count(*) = count(t.taxid)"
 )
 def lca_by_distance(spark, d):
-    return analytics.lca_by_distance(match.nearest(read_windows(spark, d), refs_db(spark, d), 1), taxonomy.lineage(taxa(spark, d)))
+    return analytics.lca_by_distance(match.nearest(read_windows(spark, d), refs_db(spark, d), 1, held=(K, K)), taxonomy.lineage(taxa(spark, d)))
 
 
 @query(f"WITH {s_db()}, {S_READS}, {s_near(1)} SELECT read, pos, dist, taxid, CAST(sum(cnt) AS BIGINT) AS cnt FROM q JOIN c ON q.kmer = c.kmer JOIN db ON c.mk = db.kmer GROUP BY 1, 2, 3, 4")
 def collect_by_read(spark, d):
-    return analytics.collect_by_read(read_windows(spark, d), match.nearest(read_windows(spark, d), refs_db(spark, d), 1))
+    return analytics.collect_by_read(read_windows(spark, d), match.nearest(read_windows(spark, d), refs_db(spark, d), 1, held=(K, K)))
 
 
 @query(
@@ -414,7 +443,7 @@ def collect_by_read(spark, d):
     "o AS (SELECT read, min(t) AS t FROM s WHERE n = 1 GROUP BY read HAVING count(DISTINCT t) = 1) SELECT o.read, o.t AS taxid FROM o WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.read = o.read AND NOT EXISTS (SELECT 1 FROM x WHERE x.read = s.read AND x.pos = s.pos AND x.taxid = o.t))"
 )
 def classify_reads(spark, d):
-    return workflows.classify_reads(read_windows(spark, d, LONG_K), refs_db(spark, d, LONG_K))
+    return workflows.classify_reads(read_windows(spark, d, LONG_K), refs_db(spark, d, LONG_K), held=(LONG_K, LONG_K))
 
 
 @query(
@@ -422,7 +451,7 @@ def classify_reads(spark, d):
 )
 def results_text(spark, d):
     q = read_windows(spark, d)
-    return formats.results_text(workflows.find(q, refs_db(spark, d)), q)
+    return formats.results_text(workflows.find(q, refs_db(spark, d), held=(K, K)), q)
 
 
 @query(
@@ -433,7 +462,7 @@ def results_text(spark, d):
 )
 def results_text_with_differences(spark, d):
     w = read_windows(spark, d)
-    return formats.results_text(match.nearest(w, refs_db(spark, d), 1), w)
+    return formats.results_text(match.nearest(w, refs_db(spark, d), 1, held=(K, K)), w)
 
 
 @query(f"WITH {s_db()} SELECT kmer, taxid, cnt FROM db")
