@@ -138,7 +138,9 @@ def nearest(
     check(min(counts), max(counts), db, held)
     there = prefixes(db, sorted(counts)).withColumnRenamed("kmer", "match_kmer")
     if (how or cheaper(counts, max_diff, size)) == "ball":
-        rows = _ball(wanted, max_diff).join(there.withColumn("y", bases.packed("match_kmer")), ["len", "y"]).select("kmer", "match_kmer", "dist", "taxid", "cnt")
+        # as many tasks as shuffles have: few rows become many probes
+        probes = _ball(wanted.repartition(int(db.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kmer"), max_diff)
+        rows = probes.join(there.withColumn("y", bases.packed("match_kmer")), ["len", "y"]).select("kmer", "match_kmer", "dist", "taxid", "cnt")
     else:
         there = settled(there)
         rows = _by_blocks(wanted, there, max_diff, max(counts) > 32, pairs).join(there.drop("len"), "match_kmer")

@@ -391,10 +391,26 @@ def taxa_counts_variance(spark, d):
     return analytics.taxa_counts_sampled(refs_db(spark, d), probabilities(spark, d)).select("taxid", F.round("variance", 5).alias("variance"))
 
 
-@query()
+S_SETS = "k AS MATERIALIZED (SELECT kmer, list(taxid ORDER BY taxid) AS l FROM db GROUP BY kmer), sets AS MATERIALIZED (SELECT min(kmer) AS kmer, l, count(*) AS n FROM k GROUP BY l)"
+
+
+@query(
+    f"WITH {s_db()}, {S_SETS}, {S_TREE}, m AS (SELECT kmer, n, unnest(l) AS taxid FROM sets), b AS (SELECT kmer, n, taxid, printf('%09x', CAST(ceil(CAST({S_P} AS DOUBLE) * 4294967296) AS BIGINT)) AS bound, unnest(range(0, 250)) AS block FROM m), "
+    "h AS (SELECT *, md5('1:' || kmer || ':' || taxid || ':' || block) AS hash FROM b), u AS (SELECT kmer, n, taxid, bound, block * 4 + k AS draw, '0' || substring(hash, CAST(8 * k + 1 AS INTEGER), 8) AS u FROM h, (SELECT unnest(range(0, 4)) AS k) z), "
+    "x AS (SELECT kmer, any_value(n) AS n, CASE WHEN min(u.taxid) = max(u.taxid) THEN min(u.taxid) WHEN min(na) = max(na) THEN min(na) WHEN min(re) = max(re) THEN min(re) ELSE 1 END AS lca FROM u JOIN tree t ON u.taxid = t.taxid WHERE u >= bound GROUP BY kmer, draw), "
+    "hit AS (SELECT lca, sum(n) / 1000.0 AS n FROM x GROUP BY lca), "
+    "up AS (SELECT taxid AS a, taxid AS b FROM tree UNION SELECT taxid, na FROM tree UNION SELECT taxid, re FROM tree UNION SELECT taxid, 1 FROM tree UNION SELECT na, na FROM tree UNION SELECT na, re FROM tree UNION SELECT na, 1 FROM tree UNION SELECT re, re FROM tree UNION SELECT re, 1 FROM tree UNION SELECT 1, 1) "
+    "SELECT CAST(b AS INTEGER) AS taxid, round(CAST(sum(CASE WHEN a = b THEN n ELSE 0 END) AS DOUBLE), 3) AS lca, round(CAST(sum(n) AS DOUBLE), 3) AS child FROM hit JOIN up ON lca = a GROUP BY b"
+)
 def taxa_counts_monte_carlo(spark, d):
-    """Rows only: 10 draws of each kmer of 8 bases."""
-    return analytics.taxa_counts_monte_carlo(refs_db(spark, d, 8), probabilities(spark, d), taxonomy.lineage(taxa(spark, d)), draws=10)
+    """1,000 draws of each set of taxa."""
+    found = analytics.taxa_counts_monte_carlo(refs_db(spark, d), probabilities(spark, d), taxonomy.lineage(taxa(spark, d)))
+    return found.select("taxid", F.round("lca", 3).alias("lca"), F.round("child", 3).alias("child"))
+
+
+@query(f"WITH {s_db()}, {S_SETS} SELECT kmer, n, CAST(unnest(l) AS INTEGER) AS taxid, len(l) AS size FROM sets")
+def taxon_sets(spark, d):
+    return analytics.taxon_sets(refs_db(spark, d))
 
 
 PATTERNS = [("one", [1001], [], False), ("two", [1001, 1002], [], True), ("first only", [1001], [1002], True), ("none of them", [], [1001, 1002], True)]
@@ -408,6 +424,21 @@ def taxa_counts_patterns(spark, d):
     return analytics.pattern_counts(refs_db(spark, d), PATTERNS)
 
 
+@query(
+    f"WITH {s_db()}, {S_SETS}, z AS (SELECT count(*) AS s FROM supplier), p AS (SELECT c_custkey AS pattern, [1000 + c_custkey % s, 1000 + c_custkey * 7 % s, 1000 + c_nationkey % s][1 + c_custkey % 4:] AS present, [1000 + c_custkey * 13 % s][1 + c_custkey % 2:] AS absent, c_custkey % 5 > 0 AS others FROM customer, z) "
+    "SELECT CAST(pattern AS VARCHAR) AS pattern, CAST(coalesce(sum(CASE WHEN list_has_all(l, present) AND NOT list_has_any(l, absent) AND (others OR len(l) = len(list_distinct(present))) THEN n ELSE 0 END), 0) AS BIGINT) AS n FROM p, sets GROUP BY pattern"
+)
+def taxa_counts_pattern_table(spark, d):
+    """A pattern of up to three present and one absent taxon for every customer."""
+    suppliers = table(spark, d, "supplier").agg(F.count("*").alias("s"))  # one row
+    c, s = F.col("c_custkey"), F.col("s")
+    taxon = lambda x: (1000 + x % s).cast("int")
+    rows = table(spark, d, "customer").crossJoin(F.broadcast(suppliers))
+    present, absent = F.array(taxon(c), taxon(c * 7), taxon(F.col("c_nationkey"))), F.array(taxon(c * 13))
+    rows = rows.select(c.cast("string").alias("pattern"), F.slice(present, (1 + c % 4).cast("int"), F.lit(3)).alias("present"), F.slice(absent, (1 + c % 2).cast("int"), F.lit(1)).alias("absent"), (c % 5 > 0).alias("others"))
+    return analytics.pattern_counts(refs_db(spark, d), rows)
+
+
 @query(f"WITH {s_db()}, {S_READS}, {s_near(1)}, g AS (SELECT c.kmer, min(CASE WHEN taxid = 1001 THEN dist END) AS dist_a, min(CASE WHEN taxid = 1002 THEN dist END) AS dist_b FROM c JOIN db ON c.mk = db.kmer GROUP BY c.kmer) SELECT dist_a, dist_b, count(*) AS n FROM g GROUP BY 1, 2")
 def closer_counts(spark, d):
     return analytics.closer_counts(match.nearest(read_windows(spark, d), refs_db(spark, d), 1, held=(K, K)), 1001, 1002)

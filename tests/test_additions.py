@@ -92,4 +92,21 @@ def test_draws_have_the_expectation_of_all_outcomes(spark):
     got = {r.taxid: r.lca for r in analytics.taxa_counts_monte_carlo(db, p, tree, draws=4000, mode="strict").collect()}
     want = {10: 0.125, 12: 0.125, 11: 0.375 + 0.125, 1: 0.375, 20: 0.375}
     assert all(abs(got[t] - want[t]) < 0.05 for t in want), got
-    assert F.col("x") is not None
+    flipped = {r.taxid: r.lca for r in analytics.taxa_counts_monte_carlo(db, p.withColumn("p", 1 - F.col("p")), tree, draws=4000, mode="compat").collect()}
+    assert all(abs(flipped[t] - want[t]) < 0.05 for t in want), flipped
+    with pytest.raises(ValueError):
+        analytics.taxa_counts_monte_carlo(db, p, tree, mode="other")
+
+
+def test_patterns_as_a_table(spark):
+    db = spark.createDataFrame([("AA", 1), ("AA", 2), ("AC", 1), ("AG", 2), ("AG", 3), ("AT", 1), ("AT", 2), ("CC", 3)], "kmer string, taxid int")
+    patterns = [("one", [1], [], True), ("both", [1, 2, 1], [], False), ("not", [2], [3], True), ("alone", [1], [], False), ("rest", [], [1, 2], True), ("all", [], [], True), ("none", [], [], False), ("unknown", [9], [], True), ("clash", [1], [1], True)]
+    got = {r.pattern: r.n for r in analytics.pattern_counts(db, patterns).collect()}
+    assert got == {"one": 3, "both": 2, "not": 2, "alone": 1, "rest": 1, "all": 5, "none": 0, "unknown": 0, "clash": 0}
+    nothing = {r.pattern: r.n for r in analytics.pattern_counts(db.limit(0), patterns).collect()}
+    assert set(nothing.values()) == {0} and len(nothing) == len(patterns)
+
+
+def test_taxon_sets(spark):
+    db = spark.createDataFrame([("AA", 1), ("AA", 2), ("AC", 2), ("AC", 1), ("AG", 2), ("AG", 2)], "kmer string, taxid int")
+    assert sorted(tuple(r) for r in analytics.taxon_sets(db).collect()) == [("AA", 1, 2, 2), ("AA", 2, 2, 2), ("AG", 2, 1, 1)]
