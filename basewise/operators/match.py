@@ -35,7 +35,10 @@ def exact(search: DataFrame, db: DataFrame, k: int, held: Lengths | None = None)
     Counts are summed after the join, on its partitioning, so rows of db move once and those without a match are not summed.
     """
     check(k, k, db, held)
-    cut = db.filter(F.length("kmer") >= k).select(F.substring("kmer", 1, k).alias("kmer"), "taxid", "cnt")
+    if held == (k, k):  # as it stands, so that a stored database keeps its place
+        cut = db.select("kmer", "taxid", "cnt")
+    else:
+        cut = db.filter(F.length("kmer") >= k).select(F.substring("kmer", 1, k).alias("kmer"), "taxid", "cnt")
     return cut.join(search.select("kmer").distinct(), "kmer").groupBy("kmer", "taxid").agg(F.sum("cnt").alias("cnt"))
 
 

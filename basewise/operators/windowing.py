@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import json
-from dataclasses import asdict, dataclass
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basewise.functions import bases
@@ -99,8 +96,8 @@ def restrict(db: DataFrame, min_k: int, max_k: int) -> DataFrame:
 
 
 def key_range(db: DataFrame, n: int, low: int, high: int) -> DataFrame:
-    """Rows whose key of n bases is in [low, high]; a stored `key` column prunes partitions."""
-    return db.filter((F.col("key") if "key" in db.columns else bases.key("kmer", n)).between(low, high))
+    """Rows whose key of n bases is in [low, high]; of a stored database, stored.key_range reads the range's folders only."""
+    return db.filter(bases.key("kmer", n).between(low, high))
 
 
 def numbered_reads(df: DataFrame, order: str = "line", name: str = "name") -> DataFrame:
@@ -131,23 +128,6 @@ def read_names(numbered: DataFrame, name: str = "name") -> DataFrame:
     return numbered.groupBy("read").agg(F.first(name).alias("name"))
 
 
-@dataclass(frozen=True)
-class Meta:
-    """What is stored beside a database."""
-
-    min_k: int
-    max_k: int
-    key_len: int
-    kind: str
-    rc: bool
-
-
-def check_lengths(search: Meta, db: Meta) -> None:
-    """ValueError unless the lengths that are searched for lie in the database's range."""
-    if search.min_k < db.min_k or search.max_k > db.max_k:
-        raise ValueError(f"lengths {search.min_k} to {search.max_k} are searched, the database holds {db.min_k} to {db.max_k}")
-
-
 def sizes(db: DataFrame) -> DataFrame:
     """(n, min_k, max_k): the number of rows and the lengths of their shortest and longest kmer."""
     return db.agg(F.count("*").alias("n"), F.min(F.length("kmer")).alias("min_k"), F.max(F.length("kmer")).alias("max_k"))
@@ -158,31 +138,6 @@ def key_range_restricted(db: DataFrame, n: int, low: int, high: int, min_k: int,
     return restrict(key_range(db, n, low, high), min_k, max_k)
 
 
-def save(db: DataFrame, path: str, meta: Meta, buckets: int = 64) -> None:
-    """Write db as Parquet in directories by bucket of the key, sorted by key and kmer within, and its metadata."""
-    keyed = db.withColumn("key", bases.key("kmer", meta.key_len)).withColumn("bucket", F.floor(F.col("key") * buckets / 4**meta.key_len).cast("int"))
-    keyed.repartitionByRange("key").sortWithinPartitions("bucket", bases.actg("kmer")).write.partitionBy("bucket").parquet(f"{path}/data")
-    db.sparkSession.createDataFrame([(json.dumps(asdict(meta)),)], "value string").coalesce(1).write.text(f"{path}/meta")
-
-
-def load(spark: SparkSession, *paths: str, searched: bool = False) -> tuple[DataFrame, Meta]:
-    """Read one or more databases and merge them.  ValueError if they don't fit together, or if one without both strands is to be searched."""
-    metas = [Meta(**json.loads(spark.read.text(f"{p}/meta").first()[0])) for p in paths]
-    if len(set(metas)) != 1:
-        raise ValueError(f"databases differ: {metas}")
-    if searched and not metas[0].rc:
-        raise ValueError("a database that is searched holds both strands")
-    dbs = [spark.read.parquet(f"{p}/data") for p in paths]
-    if len(dbs) == 1:
-        return dbs[0], metas[0]
-    if metas[0].kind == "counts":
-        return merge_dbs(*[d.select("kmer", "taxid", "cnt") for d in dbs]), metas[0]
-    out = dbs[0]
-    for d in dbs[1:]:
-        out = out.unionByName(d)
-    return out.select("kmer", "read", "pos").distinct(), metas[0]
-
-
 def key_bounds(db: DataFrame, n: int) -> DataFrame:
     k = bases.key("kmer", n)
     return db.agg(F.min(k).alias("min_key"), F.max(k).alias("max_key"))

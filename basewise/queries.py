@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basewise.functions import bases
-from basewise.operators import analytics, formats, match, taxonomy, windowing
+from basewise.operators import analytics, formats, match, stored, taxonomy, windowing
 from basewise.plans import workflows
 from basewise.sources import readers
 
@@ -351,6 +351,24 @@ def key_range_restricted(spark, d):
     return windowing.key_range_restricted(refs_db(spark, d, LOW, HIGH), KEY, 1000, 1999, LOW + 1, K)
 
 
+@query(f"WITH {s_db()}, {S_READS}, {S_EXACT} SELECT kmer, taxid, cnt FROM m WHERE {s_key(KEY)} BETWEEN 500 AND 2999")
+def stored_match(spark, d):
+    """A database that is saved, loaded, and joined over a range of keys, of which only its folders are read."""
+    path = stored.fresh(spark, "database")
+    stored.save(refs_db(spark, d), path, stored.Meta(K, K, KEY, "counts", True))
+    db, meta = stored.load(spark, path, searched=True)
+    return match.exact(read_windows(spark, d), stored.key_range(db, meta, KEY, 500, 2999), K, held=meta.lengths)
+
+
+@query(f"WITH {s_db()}, {S_R}, e AS (SELECT 1001 AS taxid, kmer FROM ({s_win('r', 'read', K)})), a AS (SELECT kmer, taxid, cnt FROM db UNION ALL SELECT kmer, taxid, count(*) FROM (SELECT taxid, kmer FROM e UNION ALL SELECT taxid, {RC} FROM e WHERE NOT {OWN}) GROUP BY 1, 2) SELECT kmer, taxid, CAST(sum(cnt) AS BIGINT) AS cnt FROM a GROUP BY 1, 2")
+def stored_merge(spark, d):
+    """The reads, as sequences of one more taxon, added to a stored database."""
+    path = stored.fresh(spark, "database")
+    stored.save(refs_db(spark, d), path, stored.Meta(K, K, KEY, "counts", True))
+    stored.merge_into(spark, path, workflows.reference_db(reads(spark, d).withColumn("taxid", F.lit(1001)), K))
+    return stored.load(spark, path)[0].select("kmer", "taxid", "cnt")
+
+
 S_SIZES = "z AS (SELECT kmer, count(*) AS n FROM db GROUP BY kmer)"
 
 

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basewise.operators import windowing
+from basewise.operators.stored import settled
 
 
 def match_stream(reads: DataFrame, db: DataFrame, k: int) -> DataFrame:
-    """(read, pos, kmer, taxid, cnt) for a stream of (read, seq): a join with the database, without state."""
-    return windowing.windows(windowing.runs(reads), k).join(windowing.restrict(db, k, k), "kmer")
+    """(read, pos, kmer, taxid, cnt) for a stream of (read, seq): a join with the database, which is cut to k once and not in every batch; without state."""
+    return windowing.windows(windowing.runs(reads), k).join(settled(windowing.restrict(db, k, k)), "kmer")
 
 
 def count_stream(reads: DataFrame, db: DataFrame, k: int, time_col: str, late: str = "10 minutes", size: str = "5 minutes") -> DataFrame:
     """(window, taxid, n): matched windows of reads by event time; rows later than `late` are dropped with their state."""
-    found = windowing.windows(windowing.runs(reads.withWatermark(time_col, late)), k).join(windowing.restrict(db, k, k), "kmer")
+    found = windowing.windows(windowing.runs(reads.withWatermark(time_col, late)), k).join(settled(windowing.restrict(db, k, k)), "kmer")
     return found.groupBy(F.window(time_col, size), "taxid").agg(F.count("*").alias("n"))

@@ -1,7 +1,7 @@
 """Parameter files, stored sequences, read names, length checks, long walks and chunked windows."""
 
 import pytest
-from basewise.operators import analytics, match, taxonomy, windowing
+from basewise.operators import analytics, match, stored, taxonomy, windowing
 from basewise.sources import readers
 from pyspark.sql import functions as F
 
@@ -54,11 +54,11 @@ def test_read_names(spark):
 
 
 def test_lengths_must_fit(spark):
-    db = windowing.Meta(5, 8, 3, "counts", True)
-    windowing.check_lengths(windowing.Meta(5, 7, 3, "reads", False), db)
+    db = stored.Meta(5, 8, 3, "counts", True)
+    stored.check_lengths(stored.Meta(5, 7, 3, "reads", False), db)
     for low, high in ((4, 7), (5, 9)):
         with pytest.raises(ValueError):
-            windowing.check_lengths(windowing.Meta(low, high, 3, "reads", False), db)
+            stored.check_lengths(stored.Meta(low, high, 3, "reads", False), db)
     short = spark.createDataFrame([("ACG", 1, 1)], "kmer string, taxid int, cnt long")
     with pytest.raises(ValueError):
         match.nearest(spark.createDataFrame([("ACGT",)], "kmer string"), short, 1)

@@ -4,7 +4,7 @@ import gzip
 
 import pytest
 from basewise.functions import bases
-from basewise.operators import analytics, formats, match, taxonomy, windowing
+from basewise.operators import analytics, formats, match, stored, taxonomy, windowing
 from basewise.sources import readers
 from basewise.streaming.matching import count_stream, match_stream
 from pyspark.sql import functions as F
@@ -45,18 +45,18 @@ def test_windows(spark):
 
 def test_stored(spark, tmp_path):
     db = windowing.count_db(spark.createDataFrame([(7, "ACGTAC"), (8, "ACGTAC"), (8, "GGGTTT")], "taxid int, kmer string"))
-    meta = windowing.Meta(6, 6, 4, "counts", True)
+    meta = stored.Meta(6, 6, 4, "counts", True)
     for n in ("a", "b"):
-        windowing.save(db, f"file://{tmp_path}/{n}", meta)
-    windowing.save(db, f"file://{tmp_path}/c", windowing.Meta(6, 6, 4, "counts", False))
-    back, told = windowing.load(spark, f"file://{tmp_path}/a")
+        stored.save(db, f"file://{tmp_path}/{n}", meta)
+    stored.save(db, f"file://{tmp_path}/c", stored.Meta(6, 6, 4, "counts", False))
+    back, told = stored.load(spark, f"file://{tmp_path}/a")
     assert told == meta and back.select("kmer", "taxid", "cnt").exceptAll(db).count() == 0 and back.count() == db.count()
-    twice, _ = windowing.load(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/b", searched=True)
+    twice, _ = stored.load(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/b", searched=True)
     assert twice.exceptAll(db.withColumn("cnt", F.col("cnt") * 2)).count() == 0
-    assert windowing.key_range(back, 4, 255, 255).count() == db.filter("kmer like 'GGGG%'").count()
+    assert stored.key_range(back, told, 4, 255, 255).count() == db.filter("kmer like 'GGGG%'").count()
     for paths, searched in ((("a", "c"), False), (("c",), True)):
         with pytest.raises(ValueError):
-            windowing.load(spark, *[f"file://{tmp_path}/{p}" for p in paths], searched=searched)
+            stored.load(spark, *[f"file://{tmp_path}/{p}" for p in paths], searched=searched)
 
 
 def test_classify_and_closer(spark):
