@@ -2,8 +2,8 @@
 
 Candidates are runs of token characters that look random enough to be worth judging, those with an issuer's mark, every run of any length that
 stands beside a word for a secret or an assignment, and private-key blocks.  Each is described by its
-length, the transitions between kinds of characters, how much of it dictionary words cover, the document's path and the
-words that stand before it.  The forest is trained from labelled findings, a table made by rule whose size is a parameter.
+length, the transitions between its characters and between kinds of them, how much of it dictionary words cover, the document's path and how near the
+words on both sides of it are that speak for or against a secret.  The forest is trained from labelled findings, a table made by rule whose size is a parameter.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from .common import in_batches, stash, tidy
 ROWS_PER_KIND = 120  # labelled findings of each kind that the forest is trained from
 TREES = 50
 DEPTH = 10
-NEAR = 48  # characters before a candidate in which neighbouring words are looked for
+NEAR = 96  # characters on each side of a candidate in which neighbouring words are looked for
 JOINED = 500_000  # documents with secrets whose spans are broadcast at most; more come by a shuffled join
 MASK = "<SECRET>"
 SHORTEST = 12  # characters of a candidate that nothing beside it speaks for
@@ -59,7 +59,7 @@ DICTIONARY = (
 ).split()
 WORDS = re.compile("|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))))
 WORD = re.compile(r"[A-Za-z0-9]+")
-FEATURES = ("length", "kinds", "turns", "digits", "upper", "lower", "hex", "entropy", "repeats", "covered", "marked", "path", "said", "denied", "assigned", "quoted", "dashes")
+FEATURES = ("length", "kinds", "turns", "digits", "upper", "lower", "hex", "entropy", "repeats", "covered", "usual", "marked", "path", "said", "said after", "denied", "denied after", "assigned", "quoted", "dashes", "capitalised")
 
 
 def _kind(c: str) -> str:
@@ -74,12 +74,32 @@ def likely(token: str) -> bool:
     return (letters >= 2 and digits >= 2) or turns >= 6
 
 
+def _transitions() -> dict[str, float]:
+    """The log probability of each letter after another in dictionary words, one count added to all."""
+    pairs = Counter(a + b for w in DICTIONARY for a, b in zip(w, w[1:], strict=False))
+    after = Counter(p[0] for p in pairs.elements())
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return {a + b: math.log((pairs[a + b] + 1) / (after[a] + 26)) for a in letters for b in letters}
+
+
+TRANSITIONS = _transitions()
+LEAST_USUAL = min(TRANSITIONS.values())
+JOINTS = re.compile(r"(?<=[a-z])(?=[A-Z])|_")
+
+
+def _near(words: list[str], wanted: frozenset[str]) -> float:
+    """How near the first of the wanted words is: 1 for a neighbour, 1/2 for the word beyond, and so on; 0 for none."""
+    return next((1 / k for k, w in enumerate(words, 1) if w in wanted), 0.0)
+
+
 def features(token: str, before: str, after: str, path: str) -> list[float]:
     kinds = [_kind(c) for c in token]
     n = len(token)
     counts = Counter(token)
-    near = [w.lower() for w in WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])|_", " ", before))][-4:]
-    covered = sum(len(m[0]) for m in WORDS.finditer(token.lower()))
+    lower = token.lower()
+    ahead = [w.lower() for w in WORD.findall(JOINTS.sub(" ", before))][::-1]
+    behind = [w.lower() for w in WORD.findall(JOINTS.sub(" ", after))]
+    covered = sum(len(m[0]) for m in WORDS.finditer(lower))
     tail = before.rstrip("\"'` ")
     return [
         float(n),
@@ -92,13 +112,17 @@ def features(token: str, before: str, after: str, path: str) -> list[float]:
         -sum(k / n * math.log2(k / n) for k in counts.values()),
         sum(a == b for a, b in zip(token, token[1:], strict=False)) / n,
         covered / n,
+        sum(TRANSITIONS.get(a + b, LEAST_USUAL) for a, b in zip(lower, lower[1:], strict=False)) / max(1, n - 1),
         float(bool(IS_MARKED.match(token))),
         float(bool(PATH & {w.lower() for w in WORD.findall(path)})),
-        float(bool(FOR & set(near))),
-        float(bool(AGAINST & set(near))),
+        _near(ahead, FOR),
+        _near(behind, FOR),
+        _near(ahead, AGAINST),
+        _near(behind, AGAINST),
         float(tail[-1:] in ("=", ":")),
         float(before[-1:] in ("'", '"', "`") and after[:1] in ("'", '"', "`")),
         float(token.count("-") + token.count(".") + token.count("/")) / n,
+        float(kinds[0] == "u" and all(k == "l" for k in kinds[1:])),
     ]
 
 
@@ -121,7 +145,7 @@ def candidates_in(text: str, path: str) -> Iterator[tuple[int, int, str, list[fl
         if a < b and (at == known or b <= spans[at][0]):
             spans.append((a, b))
     for a, b in sorted(spans):
-        yield a, b, text[a:b], features(text[a:b], text[max(0, a - NEAR) : a], text[b : b + 1], path)
+        yield a, b, text[a:b], features(text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR], path)
 
 
 def labelled_findings(rows: int = ROWS_PER_KIND, seed: int = 11) -> list[tuple[str, str, int]]:
@@ -135,6 +159,9 @@ def labelled_findings(rows: int = ROWS_PER_KIND, seed: int = 11) -> list[tuple[s
     said = lambda: r.choice(["token", "secret", "api_key", "API_KEY", "password", "access_token", "client_secret", "auth_token", "private_key", "SECRET_KEY"])
     assign = lambda v: r.choice(['{} = "{}"', "{}: {}", "{}={}", '"{}": "{}"', "{} {}"]).format(said(), v)
     plain = lambda: r.choice(["see", "page", "ref", "item", "from", "url", "link", "le", "the", "", "was", "data"])
+    spoken = lambda: "".join(r.choice("bcdfghklmnprstvwz") + r.choice(["a", "e", "i", "o", "u", "ai", "ou"]) + r.choice(["", "n", "r", "s", "l", "tt"]) for _ in range(r.randint(1, 4)))
+    called = lambda: r.choice([aside, spoken])()
+    prose = lambda: " ".join(called() for _ in range(r.randint(1, 6)))
     put = lambda name, v: r.choice(['{} = "{}"', "{}: {}", "{}={}", '"{}": "{}"']).format(name, v)
     uuid = lambda: "-".join(of(hexa, k) for k in (8, 4, 4, 4, 12))
     secret = [
@@ -172,6 +199,13 @@ def labelled_findings(rows: int = ROWS_PER_KIND, seed: int = 11) -> list[tuple[s
         lambda: "AKIA" + r.choice(["EXAMPLE", "XXXXXXX", "0000000"]) + r.choice(["EXAMPLE12", "XXXXXXX12", "000000012"]),
         lambda: r.choice(["the", "a", "our", "his"]) + " " + said().split("_")[-1].lower() + " " + r.choice([aside(), of(low, r.randint(2, 9))]),
         lambda: put(r.choice(["note", "color", "width", "total", "name", "said", "at 12", "mode"]), r.choice([aside(), of(low, r.randint(2, 9)), of("0123456789", r.randint(1, 6))])),
+        lambda: f"{called().capitalize()}: {called().capitalize()} {prose()}",
+        lambda: f"{prose()}: {called()} {prose()}",
+        lambda: f"{called()} = {r.choice([called(), called().capitalize(), called().upper()])} {prose()}",
+        lambda: f"{r.choice(['he', 'she', 'they', 'we'])} {called()}: \"{called().capitalize()} {prose()}",
+        lambda: f"{called()}: {of('0123456789', r.randint(1, 8))} {prose()}",
+        lambda: f"{r.choice(['the', 'a', 'no', 'this', 'my'])} {said().split('_')[-1].lower()} {r.choice(['is', 'was', 'of', 'for', 'and', 'to'])} {called()} {prose()}",
+        lambda: f"{called().capitalize()} {called().capitalize()}: {r.choice(['the', 'a', 'our'])} {said().split('_')[-1].lower()} {prose()}",
         lambda: plain() + " http" + r.choice(["", "s"]) + "://" + r.choice(["www", aside()]) + "." + aside() + ".org/" + aside(),
     ]
     paths = ["src{}", "app/config.py", "deploy/env", "server/settings.yml", "README.md"]

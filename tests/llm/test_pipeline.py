@@ -60,3 +60,12 @@ def test_empty(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert lang_id.op4_query(docs.limit(0)).count() == 0
+
+
+def test_no_text_is_lost_where_ids_repeat(spark, docs):
+    """Rows that share an id but not a text are judged each by its own text."""
+    a, b, c = (" ".join(f"{w}{k}" for k in range(12)) for w in ("alpha", "bravo", "charlie"))
+    rows = [(5, a), (7, a), (7, b), (7, b), (8, c), (None, c), (None, "delta " + b), (None, "echo is alone here"), (None, "echo is alone here")]
+    own = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    out = corpus_pipeline.near_dedup(spark, own, SF).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == sorted([(5, a), (7, b), (8, c), (0, "echo is alone here")])
