@@ -1,6 +1,6 @@
 """A corpus-cleaning pipeline over documents: each stage is one operator of basewise.llm.
 
-Rows with a null doc_id stay together with the others: they are their own documents in every stage.
+Rows with a null doc_id are their own documents in every stage.  An empty table gives an empty one in every stage; the columns of documents, and others beside them, stay in all but the last.
 """
 
 from __future__ import annotations
@@ -22,15 +22,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies (five-word shingles, similarity 0.8 or more); of rows that repeat its id, one."""
-    rows = stash(near_copy_groups(docs).filter("id is not null"), "pipeline-rows")
-    least = stash(rows.groupBy("grp").agg(F.min("id").alias("component"), F.count("*").alias("n")).filter("n > 1").drop("n"), "pipeline-least")
-    groups = stash(rows.join(hinted(least), "grp").select("id", "component"), "pipeline-groups")
-    kept = docs.join(groups.filter("id <> component").select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
-    repeated = groups.filter("id is not null and id = component").groupBy("id").count().filter("count > 1").select(F.col("id").alias("doc_id"))
+    """Keep one row of each group of near copies (five-word shingles, similarity 0.8 or more): the one with the smallest id, a null one last, and of equal ids the least hash of the text.
+
+    Rows are told apart by id and text, so texts that share an id are judged each by its own group.  An empty table gives no rows; all columns stay.
+    """
+    rows = stash(near_copy_groups(docs), "pipeline-rows")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "text_hash")
+    first = stash(rows.groupBy("grp").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("grp", "first"), "pipeline-first")
+    judged = stash(rows.join(hinted(first), "grp").select("id", "text_hash", (order == F.col("first")).alias("kept")), "pipeline-groups")
+    row = F.xxhash64("text").alias("text_hash")
+    same = lambda other: docs.doc_id.eqNullSafe(other.id) & (F.xxhash64(docs.text) == other.text_hash)
+    gone = judged.filter("not kept").select("id", "text_hash").distinct()
+    repeated = judged.filter("kept").groupBy("id", "text_hash").count().filter("count > 1").select("id", "text_hash")
+    out = docs.join(hinted(gone), same(gone), "left_anti")
     if repeated.isEmpty():
-        return kept
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        return out
+    others = out.join(hinted(repeated), same(repeated), "left_anti")
+    once = out.join(hinted(repeated), same(repeated), "left_semi").withColumn("__text_hash", row).dropDuplicates(["doc_id", "__text_hash"])
+    return others.unionByName(once.drop("__text_hash"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
