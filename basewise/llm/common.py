@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,6 +54,22 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         for path in _scopes.pop():
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        if not _scopes:
+            released(spark)
+
+
+def freed() -> None:
+    """Give freed memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def released(spark: SparkSession) -> None:
+    """Let the session drop what nothing refers to any more: Spark removes the shuffle files and broadcasts of plans only once both garbage collectors have met them."""
+    gc.collect()
+    spark._jvm.System.gc()
+    freed()
 
 
 def _size(value: str) -> int:
@@ -77,9 +94,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        freed()
 
     return tidied
 

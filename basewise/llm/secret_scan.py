@@ -22,7 +22,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_batches, stash, tidy
+from .common import in_batches, released, stash, tidy
 
 ROWS_PER_KIND = 120  # labelled findings of each kind that the forest is trained from
 TREES = 50
@@ -265,6 +265,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     found = scan_secrets(docs, id_col, text_col, path_col).filter("secret").select("id", "text_hash", "start", "stop").distinct()
     spans = found.groupBy("id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__spans")).withColumnsRenamed({"id": "__id", "text_hash": "__hash"})
     spans = stash(spans, "secret-spans")
+    released(docs.sparkSession)  # the forest took many short jobs
     hint = F.broadcast(spans) if spans.count() <= joined else spans
     text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(masked(F.col(text_col), F.col("__spans"), mask))
     out = docs.join(hint, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left").withColumn(text_col, text)
