@@ -482,19 +482,37 @@ def lca_by_distance(spark, d):
     return analytics.lca_by_distance(match.nearest(read_windows(spark, d), refs_db(spark, d), 1, held=(K, K)), taxonomy.lineage(taxa(spark, d)))
 
 
+@query(
+    f"WITH {s_db()}, {S_READS}, {s_near(1)}, {S_TREE}, x AS (SELECT c.kmer, dist, taxid FROM c JOIN db ON c.mk = db.kmer), u AS (SELECT DISTINCT kmer, dist AS upto FROM x), "
+    f"y AS (SELECT u.kmer, upto, x.taxid FROM u JOIN x ON u.kmer = x.kmer AND dist <= upto), l AS (SELECT y.kmer, upto AS dist, {S_LCA} AS lca FROM y LEFT JOIN tree t ON y.taxid = t.taxid GROUP BY 1, 2 HAVING count(*) = count(t.taxid)), "
+    "a AS (SELECT kmer, string_agg(read || ':' || pos, '|' ORDER BY read, pos) AS p FROM q GROUP BY kmer), b AS (SELECT kmer, string_agg(dist || ':' || lca, '|' ORDER BY dist) AS t FROM l GROUP BY kmer) SELECT a.kmer || chr(9) || p || chr(9) || t AS value FROM a JOIN b ON a.kmer = b.kmer"
+)
+def lca_text(spark, d):
+    q = read_windows(spark, d)
+    return formats.lca_text(analytics.lca_by_distance(match.nearest(q, refs_db(spark, d), 1, held=(K, K)), taxonomy.lineage(taxa(spark, d))), q)
+
+
 @query(f"WITH {s_db()}, {S_READS}, {s_near(1)} SELECT read, pos, dist, taxid, CAST(sum(cnt) AS BIGINT) AS cnt FROM q JOIN c ON q.kmer = c.kmer JOIN db ON c.mk = db.kmer GROUP BY 1, 2, 3, 4")
 def collect_by_read(spark, d):
     return analytics.collect_by_read(read_windows(spark, d), match.nearest(read_windows(spark, d), refs_db(spark, d), 1, held=(K, K)))
 
 
-@query(
+S_CALLED = (
     f"WITH {s_db(LONG_K)}, {S_R}, q AS (SELECT DISTINCT read, pos, kmer FROM ({s_win('r', 'read', LONG_K)})), x AS (SELECT DISTINCT read, pos, taxid FROM q JOIN db ON q.kmer = db.kmer), s AS (SELECT read, pos, count(*) AS n, min(taxid) AS t FROM x GROUP BY read, pos), "
     "o AS (SELECT read, min(t) AS t FROM s WHERE n = 1 GROUP BY read HAVING count(DISTINCT t) = 1) SELECT o.read, o.t AS taxid FROM o WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.read = o.read AND NOT EXISTS (SELECT 1 FROM x WHERE x.read = s.read AND x.pos = s.pos AND x.taxid = o.t))"
 )
+
+
+@query(S_CALLED)
 def classify_reads(spark, d):
     return workflows.classify_reads(read_windows(spark, d, LONG_K), refs_db(spark, d, LONG_K), held=(LONG_K, LONG_K))
 
 
+@query(f"SELECT read || chr(9) || taxid AS value FROM ({S_CALLED})")
+def called_text(spark, d):
+    return formats.called_text(workflows.classify_reads(read_windows(spark, d, LONG_K), refs_db(spark, d, LONG_K), held=(LONG_K, LONG_K)))
+
+
 @query(
     f"WITH {s_db()}, {S_READS}, {S_EXACT}, a AS (SELECT kmer, string_agg(read || ':' || pos, '|' ORDER BY read, pos) AS p FROM q GROUP BY kmer), b AS (SELECT kmer, string_agg(taxid || 'x' || cnt, '|' ORDER BY taxid) AS t FROM m GROUP BY kmer) SELECT a.kmer || chr(9) || p || chr(9) || '-|' || t AS value FROM a JOIN b ON a.kmer = b.kmer"
 )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basewise.operators import windowing
+from basewise.operators.stored import settled
 
 
 def fasta(spark: SparkSession, path: str, id_ends: str = "[ \t]") -> DataFrame:
@@ -21,27 +22,49 @@ def fasta_runs(spark: SparkSession, path: str) -> DataFrame:
     return windowing.runs(fasta(spark, path, "[. \t]")).withColumnRenamed("seq_id", "acc")
 
 
-def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(line, name, seq, qual); line orders records within a file by the place of their bytes.  Sequences and qualities may run over several lines.
+#: Records of a split that are put in order together.
+BLOCK = 1 << 17
 
-    A record starts at a line `@...`; its sequence ends at the line `+...`, its quality where it is as long as the sequence.  Text between two
-    `@` at a line's start that has no such `+` belongs to the quality before it.  Records are put together within a file's split and the one
-    before it only, so no task holds more than a file's lines in order.
+
+def _placed(spark: SparkSession, path: str | list[str], separator: str | None = None) -> DataFrame:
+    """(value, file, start, at): lines with the file, the first byte of their split and a number that rises within a split, so that (file, start, at) is their order in the files whatever the splits."""
+    lines = spark.read.text(path, lineSep=separator)
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+
+
+def fastq(spark: SparkSession, path: str | list[str], block: int = BLOCK) -> DataFrame:
+    """(line, name, seq, qual) of one file or several; line numbers the records from 0 in the order of files (by path) and bytes, whatever the splits.
+
+    Sequences and qualities may run over several lines.  A record starts at a line `@...`; its sequence ends at the line `+...`, its quality where
+    it is as long as the sequence.  Texts between two `@` at a line's start that have no such `+` belong to the quality before them, also where that
+    stands in the split before.  No task orders more than `block` records; one row for each block tells where its numbers start.
     """
-    parts = spark.read.text(path, lineSep="\n@").select(F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", "^@", "").alias("value"))
-    parts = parts.select("line", F.floor(F.col("line") / (1 << 33)).alias("file"), F.split("value", "\r?\n").alias("p"))
+    parts = _placed(spark, path, "\n@").withColumn("block", F.floor(F.col("at") / block))
+    value = F.regexp_replace("value", "\r?\n?$", "")
+    parts = parts.select("file", "start", "block", "at", F.split(value, "\r?\n").alias("p"))
     lines = F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0)))
     plus = F.array_position(F.transform(lines, lambda x: x.startswith("+")), True).cast("int")
     seq = F.when(plus > 0, F.array_join(F.slice(lines, 1, F.greatest(plus - 1, F.lit(0))), ""))
     qual = F.when(plus > 0, F.array_join(F.slice(lines, plus + 1, F.size(lines)), "")).otherwise(F.concat(F.lit("@"), F.array_join("p", "")))
-    read = parts.select("line", "file", F.col("p")[0].alias("name"), seq.alias("seq"), qual.alias("qual"))
-    # a part is a record's start unless the record before still lacks quality; a quality that starts with @ makes a part without a sequence
-    starts = read.withColumn("starts", F.col("seq").isNotNull())
-    near = Window.partitionBy("file").orderBy("line")
-    nxt = F.lead(F.struct("starts", "qual")).over(near)
-    joined = starts.withColumn("after", nxt).filter("starts and seq <> ''")
-    more = (F.length("qual") < F.length("seq")) & F.col("after").isNotNull() & ~F.col("after.starts")
-    return joined.select("line", "name", "seq", F.when(more, F.concat("qual", "after.qual")).otherwise(F.col("qual")).alias("qual"))
+    read = parts.select("file", "start", "block", "at", F.col("p")[0].alias("name"), seq.alias("seq"), qual.alias("qual"))
+    place = ["file", "start", "block"]
+    own = F.count("seq").over(Window.partitionBy(*place).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    # records of a block by their number in it; 0 is what the block holds of the record before it
+    given = F.struct("at", F.struct("name", "seq").alias("head"), "qual")
+    records = read.withColumn("own", own).groupBy(*place, "own").agg(F.array_sort(F.collect_list(given)).alias("parts"))
+    records = settled(records.select(*place, "own", F.col("parts")[0]["head"].alias("head"), F.col("parts")["qual"].alias("quals")))
+    counts = records.groupBy(*place).agg(F.max("own").alias("n"), F.max(F.when(F.col("own") == 0, F.col("quals"))).alias("rest"))
+    order = Window.orderBy(*place)  # one row for each block
+    bases = counts.withColumn("base", F.sum("n").over(order) - F.col("n")).withColumn("opens", F.coalesce(F.lag("file").over(order) != F.col("file"), F.lit(True)))
+    rest = bases.filter("rest is not null").groupBy("file", F.col("base").alias("line")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "block", "rest"))), lambda x: x["rest"])).alias("rest"))
+    whole = records.filter("own > 0").join(bases.select(*place, "base", "opens"), place)
+    name = F.when(F.col("opens") & (F.col("own") == 1), F.regexp_replace("head.name", "^@", "")).otherwise(F.col("head.name"))  # a file's first mark has no line end before it
+    whole = whole.select("file", (F.col("base") + F.col("own")).alias("line"), name.alias("name"), F.col("head.seq").alias("seq"), "quals")
+    whole = whole.join(rest, ["file", "line"], "left")
+    size = F.length("seq")
+    quals = F.concat("quals", F.coalesce("rest", F.array().cast("array<string>")))
+    text = F.aggregate(quals, F.struct(F.lit("").alias("text"), F.lit(False).alias("begun")), lambda a, x: F.struct(F.when(~a["begun"] | (F.length(a["text"]) < size), F.concat(a["text"], x)).otherwise(a["text"]).alias("text"), F.lit(True).alias("begun")))["text"]
+    return whole.filter(size > 0).select((F.col("line") - 1).alias("line"), "name", "seq", text.alias("qual"))
 
 
 def tagged(spark: SparkSession, path: str) -> DataFrame:
@@ -58,8 +81,10 @@ def preprocessed(spark: SparkSession, path: str) -> DataFrame:
 
 def id_map(spark: SparkSession, path: str, acc: int = 2, taxid: int = 3, skip: int = 0) -> DataFrame:
     """(acc, taxid, line) from a table with columns counted from 1; acc ends at its dot; the first `skip` lines of a file go."""
-    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
-    rows = rows.filter(F.col("line").bitwiseAND((1 << 33) - 1) >= skip) if skip else rows
+    rows = _placed(spark, path).select("value", "file", "start", F.col("at").alias("line"))
+    if skip:  # a file's first split tells where its lines begin; the others hold none to leave out
+        first = rows.filter("start = 0").groupBy("file").agg(F.min("line").alias("first"))
+        rows = rows.join(first, "file", "left").filter((F.col("start") > 0) | (F.col("line") >= F.col("first") + skip))
     p = F.split("value", "\t")
     return rows.select(F.substring_index(p[acc - 1], ".", 1).alias("acc"), F.try_to_number(p[taxid - 1], F.lit("999999999")).cast("int").alias("taxid"), "line").filter("taxid is not null")
 
@@ -80,6 +105,15 @@ def taxonomy_dump(spark: SparkSession, nodes: str, names: str | None = None, mer
     return taxa, old, gone
 
 
+def taxonomy_instance(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """taxonomy_dump of the four files that an instance file names, one a line and beside it: nodes, names, merged, deleted; ValueError if it names fewer."""
+    named = [r[0].strip() for r in spark.read.text(path).limit(4).collect()]
+    if len(named) < 4 or not all(named):
+        raise ValueError(f"{path} has to name four files: nodes, names, merged, deleted")
+    folder = path.rstrip("/").rpartition("/")[0]
+    return taxonomy_dump(spark, *(f"{folder}/{name}" if folder else name for name in named))
+
+
 def patterns(lines: list[str]) -> list[tuple[str, list[int], list[int], bool]]:
     """Patterns from lines like `12 !34 + #name`: present, absent, whether others may be there, and a name."""
     out = []
