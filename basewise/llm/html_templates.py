@@ -2,8 +2,8 @@
 
 Every element's subtree is hashed.  Spark counts, for every host, on how many different pages each hash stands;
 subtrees that recur on many of them are the site's template and are deleted, as are elements whose
-tag, role or class says that they are no article text.  Where a page marks its article, only what is in it is kept; paragraphs and
-headings in it are never taken for template, since texts themselves may recur.
+tag, role or class says that they are no article text.  Where a page marks its article, only what is in it is kept; since texts themselves may
+recur, a paragraph, heading or list item in it is taken for template only where it stands in the articles of most of the host's pages.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from .common import lower_az, stash
 
 LEAST_PAGES = 5  # a template's subtree stands on so many different pages of its host at least
 LEAST_SHARE = 0.05  # and on this share of them
+MOST, MOST_PAGES = 0.5, 10  # what stands in articles is template on over this share of the host's different pages, and on so many of them at least
 HELD = 2_000_000  # template hashes that are broadcast at most; more come by a join
 SALTS = 16  # parts of a host in that join
 
@@ -44,6 +45,9 @@ WORDS = frozenset(
     "pagination pager widget widgets login skip".split()
 )
 SPEAKERS = frozenset("comment comments reply replies disqus".split())
+#: A class that names one of the first and one of the second, whatever else, holds what readers wrote.
+READERS = frozenset("reader readers user users visitor visitors guest guests customer customers viewer viewers community".split())
+SAID = frozenset("comment comments reply replies review reviews feedback response responses opinion opinions discussion discussions letters".split())
 #: Words that say where or in what form something stands, and nothing of what it is.
 NEUTRAL = frozenset(
     "site page main top bottom left right center inner outer upper lower global primary secondary fixed sticky floating js c l u o is block box bar area wrap wrapper container content "
@@ -56,7 +60,7 @@ TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 class Page:
     """A page's elements and texts, in page order.
 
-    elements: [tag, parent, no_text, hash, subtree has paragraphs or headings]; texts: (element, block, text), block a number that changes
+    elements: [tag, parent, no_text, hash (its last bit tells what hashes() says), subtree has paragraphs or headings]; texts: (element, block, text), block a number that changes
     where a block starts or ends.
     """
 
@@ -146,19 +150,26 @@ class Page:
         return [True] * len(self.elements)
 
     def hashes(self) -> list[int]:
-        """The different hashes of subtrees that may be template."""
-        return list({own[3] for own, may in zip(self.elements, self._removable(), strict=True) if may})
+        """The different hashes of subtrees that may be template; odd for paragraphs, headings and list items of a marked article, else even."""
+        return list({code for code in self._codes() if code is not None})
 
-    def _removable(self) -> list[bool]:
+    def _codes(self) -> list[int | None]:
         inside = self.regions()
         marked = not all(inside)
-        return [k > 0 and own[0] not in ("html", "body", "article", "main") and not (marked and inside[k] and (own[4] or own[0] not in BLOCK or own[0] == "li")) for k, own in enumerate(self.elements)]
+        out: list[int | None] = []
+        for k, own in enumerate(self.elements):
+            text = marked and inside[k] and (own[4] or own[0] not in BLOCK or own[0] == "li")
+            if k == 0 or own[0] in ("html", "body", "article", "main") or (text and own[0] not in TEXT_TAGS and own[0] != "li"):
+                out.append(None)
+            else:
+                out.append(own[3] | 1 if text else own[3] & ~1)
+        return out
 
     def text(self, template: frozenset[int] | set[int]) -> str:
         gone = [False] * len(self.elements)
-        inside, removable = self.regions(), self._removable()
-        for k, (_, parent, bare, code, _) in enumerate(self.elements):
-            gone[k] = k > 0 and (gone[parent] or bare or (removable[k] and code in template))
+        inside, codes = self.regions(), self._codes()
+        for k, (_, parent, bare, _, _) in enumerate(self.elements):
+            gone[k] = k > 0 and (gone[parent] or bare or (codes[k] is not None and codes[k] in template))
         blocks: dict[int, list[str]] = {}
         for k, block, text in self.texts:
             if inside[k] and not gone[k]:
@@ -169,7 +180,8 @@ class Page:
 def no_text(name: str, attributes: str) -> bool:
     """Whether tag, role, class, id or hiding of an element say that it holds no article text.
 
-    A class or id counts when all its parts do: `site-header` and `cookie-notice` say so, `share-price` and `header-image-post` do not.
+    A class or id counts when all its parts do: `site-header` and `cookie-notice` say so, `share-price` and `header-image-post` do not.  One that names
+    readers and what they write counts, too: `reader-comments`, `user-review`.
     """
     if name in NO_TEXT:
         return True
@@ -180,6 +192,8 @@ def no_text(name: str, attributes: str) -> bool:
         return True
     for own in f"{found.get('class', '')} {found.get('id', '')}".split():
         parts = {x for x in re.split(r"[^a-z0-9]+", own) if not x.isdigit()} - {""}
+        if parts & READERS and parts & SAID and (name != "article" or parts <= READERS | SAID | NEUTRAL):
+            return True
         if parts & (SPEAKERS if name == "article" else WORDS) and parts <= WORDS | SPEAKERS | NEUTRAL:
             return True
     return False
@@ -193,8 +207,8 @@ def host(url: str) -> F.Column:
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Return (host, hashes): the template of every host that has one.
 
-    A hash counts once for each different page text of the host, so copies of a page make no template.  The share bounds a
-    host's list to 1 / least_share times the subtrees of an average page.
+    A hash counts once for each different page text of the host, so copies of a page make no template.  The shares bound a
+    host's list to 1 / least_share times the subtrees of an average page.  What stands in articles (odd hashes) has to be on MOST of the pages.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +221,9 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     rows = stash(rows.groupBy("host", "page").agg(F.first("hashes").alias("hashes")), "html-subtrees")
     sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
     counts = rows.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
-    return counts.join(sizes, "host").filter(F.col("n") >= F.col("pages") * least_share).groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
+    inner = F.pmod("hash", F.lit(2)) == 1
+    often = F.when(inner, (F.col("n") >= MOST_PAGES) & (F.col("n") > F.col("pages") * MOST)).otherwise(F.col("n") >= F.col("pages") * least_share)
+    return counts.join(sizes, "host").filter(often).groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
 
 
 def main_text(pages: DataFrame, keep: list[str], url_col: str = "url", html_col: str = "html", held: int = HELD, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:

@@ -19,6 +19,8 @@ SF = "/root/testdata/sf0.01"
         ("<main>hi<div id=comments>x</div><p title=don't>yes</p></main>zz", "hi yes"),
         ("<article><p>one</p><article class=comment>no</article></article>", "one"),
         ("<div class='with-sidebar'>kept</div><div hidden>gone</div><form>f</form>", "kept"),
+        ("<article><p>one</p><section class='reader-comments'>no</section><div class='user-review'>no</div><div class='book-review'>yes</div></article>", "one yes"),
+        ("<article class='user-review-essay'>x</article><article class='user-review'>y</article><div class='customer-feedback'>z</div>", "x"),
         ("", ""),
         ("<p>open <b", "open"),
         ("<script>never closed", ""),
@@ -33,7 +35,7 @@ def site(spark):
     """Two hosts; the first repeats a promise on each page, outside and inside of what the page says."""
     rows = [(k, f"http://a.example/{k}", f"<div>Our promise: fresh news</div><p>story number {k} of many</p><div><span>more of {k % 2}</span></div>") for k in range(20)]
     rows += [(100 + k, "http://a.example/same", "<div>copy</div><p>one page, copied</p>") for k in range(50)]
-    rows += [(200 + k, f"http://b.example/{k}", f"<article><p>Our promise: fresh news</p><div><p>{k}</p></div><ul><li>tag list</ul></article>") for k in range(20)]
+    rows += [(200 + k, f"http://b.example/{k}", f"<article><p>Our {'promise' if k < 10 else 'vow'}: fresh news</p><div><p>{k}</p></div><ul><li>tag list</ul></article>") for k in range(20)]
     return spark.createDataFrame([*rows, (300, None, None), (301, "http://b.example/1", "")], "page_id long, url string, html string").withColumn("hash", F.lit(1))
 
 
@@ -42,10 +44,18 @@ def test_templates(spark, held):
     """What recurs over different pages of a host goes; copies of one page and paragraphs of articles stay."""
     got = {r.page_id: (r.text, r.n_chars) for r in html_templates.main_text(site(spark), ["page_id", "url"], held=held).collect()}
     assert got[3][0] == "story number 3 of many" and got[100][0] == "copy one page, copied"
-    assert got[205] == ("Our promise: fresh news 5", 25) and got[300] == got[301] == ("", 0)
+    assert got[215] == ("Our vow: fresh news 15", 22) and got[205] == ("Our promise: fresh news 5", 25) and got[300] == got[301] == ("", 0)
     assert len(got) == 92 and html_templates.op3_query(site(spark).limit(0)).count() == 0
 
 
+def test_notices_in_articles(spark):
+    """A paragraph that most articles of a host hold goes, one of half of them or of few pages stays; so do other hosts' ones."""
+    rows = [(k, f"http://a.example/{k}", f"<article><p>Subscribe today.</p><h1>T{k}</h1><p>story {k}</p><p>quoted by {k % 2}</p></article>") for k in range(40)]
+    rows += [(100 + k, f"http://b.example/{k}", f"<article><p>Subscribe today.</p><p>{k}</p></article>") for k in range(9)]
+    got = {r.page_id: r.text for r in html_templates.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
+    assert got[7] == "T7 story 7 quoted by 1" and got[8] == "T8 story 8 quoted by 0" and got[104] == "Subscribe today. 4"
+
+
 def test_pages_of_sf(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in html_templates.op3_query(pages).collect()}
