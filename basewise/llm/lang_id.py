@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_batches, tidy
+from .sql import crc32
 
 TOP = 300  # n-grams of a profile, and of a document
 BITS = 21  # of a code point
@@ -134,3 +135,18 @@ def op4_query(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
     learned = profiles(docs.filter(~F.col("held_out")))
     return identify(docs, learned, ["doc_id", "held_out"])
+
+
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, text, coalesce({crc32("CAST(doc_id AS VARCHAR)")} % 4 = 2, false) AS held_out FROM documents),
+w AS (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS word FROM d) GROUP BY r, word),
+p AS (SELECT word, [CAST(1 AS BIGINT)] || list_transform(string_split(word, ''), lambda c: CAST(ord(c) AS BIGINT)) || [CAST(1 AS BIGINT)] AS p FROM (SELECT DISTINCT word FROM w)),
+g AS (SELECT word, unnest(p[2:len(p) - 1] || list_transform(range(1, len(p)), lambda k: p[k] * {1 << BITS} + p[k + 1]) || list_transform(range(1, len(p) - 1), lambda k: p[k] * {1 << 2 * BITS} + p[k + 1] * {1 << BITS} + p[k + 2])) AS code FROM p),
+c AS (SELECT r, code, sum(n) AS n FROM w JOIN g USING (word) GROUP BY r, code),
+o AS (SELECT r, code, row_number() OVER (PARTITION BY r ORDER BY n DESC, code) - 1 AS own FROM c QUALIFY own < {TOP}),
+t AS (SELECT lang, code, sum(n) AS n FROM c JOIN d USING (r) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, code),
+l AS (SELECT lang, code, row_number() OVER (PARTITION BY lang ORDER BY n DESC, code) - 1 AS place FROM t QUALIFY place < {TOP}),
+f AS (SELECT r, k.lang, sum(coalesce(abs(place - own), {TOP})) AS far, count(*) AS n FROM o CROSS JOIN (SELECT DISTINCT lang FROM l) k LEFT JOIN l ON l.lang = k.lang AND l.code = o.code GROUP BY r, k.lang),
+b AS (SELECT r, lang, 1 - CAST(far AS DOUBLE) / (n * {TOP}) AS score FROM f QUALIFY row_number() OVER (PARTITION BY r ORDER BY far, lang) = 1)
+SELECT doc_id, held_out, coalesce(b.lang, '{UND}') AS lang_pred, coalesce(score, 0.0) AS score FROM d LEFT JOIN b USING (r)
+"""

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, stash
+from .sql import crc32
 
 ARITY = 3
 #: Leaves in a partition on average, and neighbouring forests that are added at a time.
@@ -255,10 +256,7 @@ def _sql() -> str:
     """Trees by a recursive query over levels; crc32 bit by bit; siblings and folded leaves by one more recursion up the levels."""
     text = "text"
     leaf_of = lambda t: "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in [*COLUMNS[:-1], t]) + ")"
-    bits = "x"
-    for _ in range(8):
-        bits = f"list_transform([{bits}], lambda c: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)[1]"
-    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ord(s) AS BIGINT))), lambda a, b: list_transform([xor(a, b)], lambda x: {bits})[1]), 4294967295)"
+    crc = crc32("CAST(doc_id AS VARCHAR)")
     return f"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, coalesce('s' || source, 'n') AS g, doc_id, {leaf_of(text)} AS leaf, {leaf_of("CASE WHEN " + crc + " % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS other FROM documents),
 l AS (SELECT r, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i, leaf FROM d),

@@ -84,7 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_language_id": lang_id.ORACLE,
     "op6_decontamination": decontam.ORACLE,
+    "op9_suffix_dedup": suffix_dedup.ORACLE,
     "op11_window_dedup": window_dedup.ORACLE,
     "op12_merkle": merkle.ORACLE,
 }

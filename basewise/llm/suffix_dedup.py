@@ -344,3 +344,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op9_query(docs: DataFrame) -> DataFrame:
     return remove_repeats(docs, digest=True).withColumnRenamed("id", "doc_id")
+
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT r, i, b[i:i + {LENGTH - 1}] AS k FROM (SELECT r, b, unnest(range(1, octet_length(b) - {LENGTH - 2})) AS i FROM d)),
+f AS (SELECT k, min(struct_pack(r := r, i := i)) AS least FROM s GROUP BY k HAVING count(*) > 1),
+e AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM s JOIN f USING (k) WHERE struct_pack(r := r, i := i) > least),
+u AS (SELECT r, i, sum(CASE WHEN i <= before + {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM e),
+x AS (SELECT r, min(i) AS a, max(i) + {LENGTH - 1} AS z FROM u GROUP BY r, run),
+y AS (SELECT r, count(*) AS n, sum(z - a + 1) AS size, list(a ORDER BY a) || [CAST(9223372036854775807 AS BIGINT)] AS a, [CAST(0 AS BIGINT)] || list(z ORDER BY a) AS z FROM x GROUP BY r),
+k AS (SELECT r, string_agg(hex(b[z[j] + 1:least(a[j] - 1, octet_length(b))]), '' ORDER BY j) AS kept FROM (SELECT r, b, a, z, unnest(range(1, len(a) + 1)) AS j FROM d JOIN y USING (r)) GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(size, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(CASE WHEN kept IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256
+FROM d LEFT JOIN y USING (r) LEFT JOIN k USING (r)
+"""
