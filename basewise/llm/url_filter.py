@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,26 +13,52 @@ from .common import lower_az
 
 #: Verdict, domain and path start.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-SIZES = (2, 3, 4)  # of the n-grams
-FEATURES = 1 << 14
-#: Words of hosts that are labelled, and syllables of made-up hosts that are.
-BAD = "spam casino porn xxx viagra pills payday-loan poker bet warez crack torrent malware phish free-money clickbait link-farm adult escort gamble spam-farm lottery".split()
-GOOD = "news wiki docs blog shop school library museum science weather recipes travel health forum city university garden music sports history archive data".split()
+SIZES = (3, 4, 5)  # of the n-grams
+FEATURES = 1 << 16
+#: Words of hosts that are labelled, by what they stand for, and syllables of made-up hosts that are.
+BAD = """
+    casino casinos poker bet bets betting gamble gambler slots jackpot roulette blackjack bingo lottery wager bookie
+    porn porno xxx sex adult escort escorts nude naked camgirls fetish erotic hookup sexy milf
+    viagra cialis pills levitra tramadol xanax steroids fatburner dietpill cheapmeds
+    payday-loan fastcash free-money cryptoprofit getrich giveaway freeprize bonuscode moneymaker forexsignals doubleyour
+    warez crack cracked keygen torrent torrents nulled serialkeys malware phish phishing trojan spyware hacktool
+    spam spam-farm clickbait link-farm backlinks buyfollowers replica rolexfake knockoff counterfeit adserver adtrack popunder tracker-pixel
+""".split()
+GOOD = """
+    news wiki docs blog journal paper archive data library museum gallery theatre film books poetry dictionary language
+    school university college course teacher student science physics biology chemistry math research history geography
+    weather climate energy forest river mountain ocean garden farm recipes kitchen bread coffee restaurant hotel travel maps railway airport
+    health hospital clinic doctor dental therapist family kids charity community council city government court police
+    software code python linux database api support forum account login shop store market bank finance insurance jobs
+    photo camera design furniture fashion watch clock bicycle cars sports football tennis chess music radio
+    house window table chair apple lemon orange bridge island village street corner winter summer morning evening yellow silver
+    letter number story picture voice people friend mother sister brother animal horse sheep rabbit flower leaf stone water
+    engine machine factory workshop tools hardware electric signal network system service office meeting project report
+    essex sussex alphabet better analyst pillow cracker scunthorpe classic cocktail sextant specialist
+""".split()
 SYLLABLES = "th he in er an re on at en nd ti es or ed st".split()
+ZONES = "com net org biz info io co de shop xyz".split()
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The labelled URL table (1: block), made by rule: some hundred rows."""
-    tlds, langs = ("com", "net", "org"), ("en", "de", "fr", "es")
-    made = [a + b + c for a, b, c in zip(SYLLABLES * 3, SYLLABLES[4:] + SYLLABLES * 3, SYLLABLES[7:] + SYLLABLES * 3, strict=False)]
+    """The labelled URL table (1: block), made by rule: a few thousand rows.
+
+    Both labels have the same zones, languages, schemes, fronts, endings and numbers, so only words tell them apart; every word stands alone, in front of and behind another, and in paths.
+    """
+    langs = ("en", "de", "fr", "es")
+    n = len(SYLLABLES)
+    made = [SYLLABLES[k % n] + SYLLABLES[(k * 3 + k // n) % n] + SYLLABLES[(k * 5 + 7 + k // n) % n] for k in range(8 * n)]
     rows = []
-    for k, word in enumerate(GOOD + made):
-        for j, front in enumerate(("", "www.", "blog.", "m.")):
-            rows.append((f"https://{front}{word}.example.{tlds[(k + j) % 3]}/{langs[(k + j) % 4]}/{(37 * k + 211 * j) % 997}" + ("", ".html", "/", "?page=2")[j], 0))
-    for k, word in enumerate(BAD):
-        for j, front in enumerate(("", "www.", "best-", "m.")):
-            rows.append((f"http://{front}{word}.example.{tlds[(k + j) % 3]}/{langs[(k + j) % 4]}/{(41 * k + 89 * j) % 997}", 1))
-            rows.append((f"http://{made[k]}.example.{tlds[(k + j) % 3]}/{word}/{(43 * k + 97 * j) % 997}", 1))
+    for label, words in ((0, GOOD + made), (1, BAD)):
+        for k, word in enumerate(words):
+            other, plain = words[(7 * k + 3) % len(words)], made[(5 * k + label) % len(made)]
+            hosts = [word, f"www.{word}", f"blog.{word}", f"m.{word}", f"best-{word}", f"online{word}", f"{word}-{other}", f"{word}{other}", f"my{word}24", f"free-{word}s", f"cheap-{word}"]
+            for j, host in enumerate(hosts):
+                zone = ZONES[(k + j) % len(ZONES)] if j % 2 else f"example.{ZONES[(k + j) % 3]}"
+                path = f"/{langs[(k + j) % 4]}/{(37 * k + 211 * j) % 997}" + ("", ".html", "/", "?page=2", "#top")[(k + j) % 5]
+                rows.append((f"http{'s' * (k % 2)}://{host}.{zone}{path}", label))
+            for j in range(2):
+                rows.append((f"http://{plain}.example.{ZONES[(k + j) % 3]}/{word}/{(43 * k + 97 * j) % 997}", label))
     return rows
 
 
@@ -44,9 +70,8 @@ def host_and_path(url: str) -> tuple[Column, Column]:
 
 
 def _grams(c: Column) -> Column:
-    """The character n-grams of a text, as an array."""
-    sizes = [F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda k, n=n: F.substr(c, k, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in SIZES]
-    return F.concat(*sizes)
+    """The character n-grams of a text, as an array: what stands ahead of each character, the second halves of surrogate pairs excepted."""
+    return F.concat(*[F.regexp_extract_all(c, F.lit(rf"(?s)(?![\uDC00-\uDFFF])(?=(.{{{n}}}))"), F.lit(1)) for n in SIZES])
 
 
 def _with_grams(df: DataFrame, url: str) -> DataFrame:
@@ -60,9 +85,10 @@ def _with_grams(df: DataFrame, url: str) -> DataFrame:
 def train(spark: SparkSession, labelled: list[tuple[str, int]] | None = None) -> PipelineModel:
     """Fit the classifier to a small labelled table of (url, 1 for block)."""
     rows = _with_grams(spark.createDataFrame(labelled or labelled_urls(), "url string, label int"), "url").coalesce(1).cache()
-    tf = HashingTF(numFeatures=FEATURES, inputCol="__grams", outputCol="__features")
-    fit = LogisticRegression(featuresCol="__features", regParam=0.003, maxIter=60, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__block")
-    model = PipelineModel([tf, fit.fit(tf.transform(rows))])
+    tf = HashingTF(numFeatures=FEATURES, inputCol="__grams", outputCol="__tf", binary=True)
+    unit = Normalizer(inputCol="__tf", outputCol="__features")
+    fit = LogisticRegression(featuresCol="__features", regParam=0.00003, standardization=False, maxIter=60, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__block")
+    model = PipelineModel([tf, unit, fit.fit(unit.transform(tf.transform(rows)))])
     rows.unpersist()
     return model
 
@@ -79,7 +105,7 @@ def matching_rule(host: str, path: str, rules: list[tuple[str, str, str]]) -> tu
 def judge_urls(pages: DataFrame, keep: list[str], url_col: str = "url", model: PipelineModel | None = None, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """Return keep, host, path, rule, verdict and score (the model's probability of block) for every row.
 
-    A null url, or one without `://`, has an empty host and path, fits no rule, and gets the model's
+    Neither clashing names of other columns (host, path, rule, verdict, score) nor nulls in them matter.  A null url, or one without `://`, has an empty host and path, fits no rule, and gets the model's
     verdict on empty text.  Repeated rows give repeated rows; an empty table gives none.  Rules are a
     short list that becomes one expression; everything runs in the JVM, without a shuffle.
     """
