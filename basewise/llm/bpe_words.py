@@ -34,6 +34,8 @@ FREQUENT_BYTES = 24 << 20  # and bytes of them
 LEAST = 2  # occurrences in some part of a task's texts that a frequent word has
 FLUSH = 200_000  # chunks that a task counts at a time
 KNOWN = 100_000  # chunks that a task remembers
+LONG_WORD = 64  # characters; longer words go to PARTS tasks each, since counts do not bound those that the table has no room for
+PARTS = 16
 NO_ID = 0x7FFFFFFFFFFFFFFF  # stands for a null id
 
 _spaces = re.compile(f"[{SPACE}]+")
@@ -159,18 +161,23 @@ def encoded_words(words: DataFrame, path: str, kept: bool = False) -> DataFrame:
     return stash(spoken, "bpe-table", kept)
 
 
-def _frequent(words: DataFrame, most: int) -> DataFrame:
-    """The most frequent words, bounded in number and bytes; counts from 1,024 on are told apart by their power of two only."""
+def _frequent(words: DataFrame, most: int, room: int = FREQUENT_BYTES) -> DataFrame:
+    """The most frequent words, at most `most` and of room bytes together; counts from 1,024 on and lengths are told apart by their power of two only.
+
+    Of equal counts shorter words come first; words that have no room leave it to less frequent ones.
+    """
     level = F.when(F.col("n") < 1_024, F.col("n")).otherwise(1_014 + F.floor(F.log2("n"))).cast("int")
-    ranked = words.withColumn("level", level)
-    by = ranked.groupBy("level").agg(F.count("*").alias("n"), F.sum(F.octet_length("word")).alias("size")).collect()  # 1,077 rows at most
-    room, bytes_, least = most, FREQUENT_BYTES, 2_000
-    for lev, n, size in sorted(by, reverse=True):
-        room, bytes_ = room - n, bytes_ - size
-        if min(room, bytes_) < 0:
+    length = F.ceil(F.log2(F.octet_length("word") + F.lit(1))).cast("int")
+    ranked = words.withColumns({"level": level, "length": length})
+    by = ranked.groupBy("level", "length").agg(F.count("*").alias("n"), F.sum(F.octet_length("word")).alias("size")).collect()  # 1,077 levels of 32 lengths at most
+    taken = []
+    for lev, longest, n, size in sorted(by, key=lambda r: (-r.level, r.length)):
+        if n > most:
             break
-        least = lev
-    return ranked.filter(F.col("level") >= least).select("word", "n")
+        if size <= room:
+            most, room = most - n, room - size
+            taken.append((lev, longest))
+    return ranked.join(F.broadcast(words.sparkSession.createDataFrame(taken, "level int, length int")), ["level", "length"]).select("word", "n")
 
 
 class Places:
@@ -247,9 +254,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     rows = in_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = Places(codes.value, path)
+        place, seen = Places(codes.value, path), set()
         for batch in _small(batches):
-            found = [place.rare(t) for t in batch.column(2).to_pylist()]
+            found = []
+            for *row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found.append([] if tuple(row) in seen else place.rare(text))  # rows that repeat share their rare words
+                seen.add(tuple(row))
+            if len(seen) > KNOWN:
+                seen.clear()
             at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([k for x in found for k in range(len(x))], pa.int32()), pa.array([w for x in found for w in x], pa.string())], ["id", "hash", "k", "word"])
 
@@ -290,8 +302,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 out.append((len(whole) // 4, hashlib.sha256(whole).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) if digest else (np.frombuffer(whole, "<u4").astype(np.int32), text))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in out], t) for k, t in enumerate(types))], ["id", *fields])
 
-    found = rows.mapInArrow(tidy(rare_words), "id long, hash long, k int, word string").repartition("word").sortWithinPartitions("word")
-    found = found.mapInArrow(tidy(encode_rare), "id long, hash long, k int, ids binary").groupBy("id", "hash").agg(F.collect_list(F.struct("k", "ids")).alias("rare"))
+    found = rows.mapInArrow(tidy(rare_words), "id long, hash long, k int, word string")
+    found = found.repartition("word", F.when(F.length("word") > LONG_WORD, F.pmod(F.xxhash64("id", "hash"), F.lit(PARTS)))).sortWithinPartitions("word")
+    found = found.mapInArrow(tidy(encode_rare), "id long, hash long, k int, ids binary").groupBy("id", "hash").agg(F.collect_set(F.struct("k", "ids")).alias("rare"))  # repeated rows of other tasks are met here
     joined = rows.mapInArrow(tidy(placed), "id long, hash long, codes binary").join(found, ["id", "hash"], "left")
     filled = joined.select("id", "codes", F.col("rare.k").alias("own"), F.col("rare.ids").alias("ids")).mapInArrow(tidy(fill), f"id long, {kind}")
     return filled.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id")))
