@@ -208,12 +208,13 @@ class Places:
     def __call__(self, text: str) -> bytes:
         known, parts = self._fresh(), chunks(text)
         found = list(map(known.get, parts))
-        if None in found:
-            new = {c: self._learn(c) for c in set(parts).difference(known)}
+        if gaps := [k for k, x in enumerate(found) if x is None]:
+            new = {c: self._learn(c) for c in {parts[k] for k in gaps}}
             rare = sorted({w for words in new.values() for w in words or () if w not in self.code_of})
             code = {w: (len(self.code_of) + k).to_bytes(4, "little") for k, w in enumerate(rare)}
             own = {c: b"".join([code[w] if w in code else self.code_of[w] for w in words]) if words else known[c] for c, words in new.items()}
-            found = [own[c] if x is None else x for c, x in zip(parts, found, strict=True)]
+            for k in gaps:
+                found[k] = own[parts[k]]
         return b"".join(found)
 
 
