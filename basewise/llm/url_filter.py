@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import lower_az
 
 #: Verdict, domain and path start.
-RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 SIZES = (3, 4, 5)  # of the n-grams
 FEATURES = 1 << 16
 #: Words of hosts that are labelled, by what they stand for, and syllables of made-up hosts that are.

@@ -206,6 +206,15 @@ def test_urls(spark):
     assert url_filter.op8_query(pages.limit(0)).count() == 0
 
 
+def test_url_rules_of_the_contract(spark):
+    """Every rule's text and verdict, on its host and a subdomain, whatever the model says of the words; the longest wins."""
+    want = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    rows = [(rule, word, f"http://{sub}{host}/{path}{word}") for rule in want for host, path in [rule.split("/", 1)] for sub in ("", "a.") for word in ("casino", "news")]
+    pages = spark.createDataFrame([(k, url) for k, (_, _, url) in enumerate(rows)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.op8_query(pages).collect()}
+    assert got == {k: (rule, want[rule]) for k, (rule, _, _) in enumerate(rows)}
+
+
 @pytest.mark.parametrize("frequent", [bpe_words.FREQUENT, 100])
 def test_bpe(spark, docs, texts, frequent):
     """Ids and decoded texts are the library's, whether words come back by broadcast or by join."""
