@@ -17,6 +17,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows of whole texts, and bytes of them, that a task takes at a time; a longer text is a batch of its own.
 BATCH = 256
 BATCH_BYTES = 1 << 20
+#: Bytes of a row group in tables of long arrays: a reader takes a column of a whole group at once, on the heap and again in a direct buffer.
+GROUP_BYTES = 4 << 20
 #: Everything that is not part of a word, before A-Z is lower-cased.
 NON_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -35,12 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
 _scopes: list[list[str]] = []
 
 
-def stash(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
-    """Write df to a new table in the shared folder and read it back; this cuts its lineage.  kept: it outlives the scope of scratch()."""
+def stash(df: DataFrame, name: str, kept: bool = False, wide: bool = False) -> DataFrame:
+    """Write df to a new table in the shared folder and read it back; this cuts its lineage.  kept: it outlives the scope of scratch(); wide: in row groups of GROUP_BYTES."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     if _scopes and not kept:
         _scopes[-1].append(path)
-    df.write.parquet(path)
+    df.write.options(**{"parquet.block.size": GROUP_BYTES} if wide else {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

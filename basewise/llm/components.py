@@ -31,13 +31,12 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     Every round is two shuffles of the remaining edges and its result is written to the shared
     folder; the driver sees only two sums for each round.
     """
-    spark = links.sparkSession
     clean = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     edges = stash(clean.select(F.col("u").cast("long"), F.col("v").cast("long")).distinct(), "edges")
     before = None
     while True:
         now = edges.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now[0] == 0 or now == before:
-            return spark.createDataFrame([], "node long, component long") if now[0] == 0 else edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = now
         edges = stash(_small_star(_large_star(edges)), "edges")

@@ -99,7 +99,7 @@ def hinted(df: DataFrame) -> DataFrame:
 def _joined(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, x, y): pairs with what sets (node, held) holds for each."""
     wanted = stash(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-wanted")
-    sets = stash(sets.join(hinted(wanted), "node", "left_semi"), "near-checked")
+    sets = stash(sets.join(hinted(wanted), "node", "left_semi"), "near-checked", wide=True)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
     return both.select("a", "b", "x", "y")
 
@@ -216,7 +216,7 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeated rows give repeated rows; other columns are ignored.
     """
     with scratch(docs.sparkSession):
-        rows = stash(shingle_sets(docs, id_col, text_col, shingle).withColumn("uid", F.monotonically_increasing_id()), "near-sets")
+        rows = stash(shingle_sets(docs, id_col, text_col, shingle).withColumn("uid", F.monotonically_increasing_id()), "near-sets", wide=True)
         copied = stash(rows.groupBy("node").agg(F.min("uid").alias("first"), F.count("*").alias("n")).filter("n > 1").select("node", "first"), "near-copied")
         extra = stash(rows.select("node", "uid").join(hinted(copied), "node").filter("uid > first").select("uid"), "near-extra")
         sets = rows.select("uid", "node", "held").join(hinted(extra), "uid", "left_anti").select("node", "held")

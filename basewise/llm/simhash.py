@@ -102,7 +102,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 2, paired: int = PAIRED) -
     fine = (F.col("l.rep") < F.col("r.rep")) & (F.bit_count(z) <= max_bits)
     for budget, length in budgets.items():
         fine = fine & (F.bit_count(F.shiftrightunsigned(z, 64 - WIDTH * length)) <= budget)
-    links = fps.sparkSession.createDataFrame([], "a long, b long")
+    links = None
     while True:
         keyed = now.withColumn("key", F.col("t").bitwiseAND(F.col("known")))
         shared = keyed.groupBy("start", "known", "key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -110,7 +110,8 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 2, paired: int = PAIRED) -
         last = open_width < 2
         few = (members if last else members.filter(F.col("n") <= paired)).select("start", "known", "key", "t", "rep")
         found = few.alias("l").join(few.alias("r"), same[0] & same[1] & same[2] & fine)
-        links = links.union(found.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")))
+        found = found.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
+        links = found if links is None else links.union(found)
         many = members.filter(F.col("n") > paired)
         if last or many.isEmpty():
             return links.distinct()

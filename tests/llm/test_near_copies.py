@@ -77,3 +77,37 @@ def test_stage_drops_near_copies(spark):
     """Of a pair of sf0.01 with a similarity of 0.8 or more that SimHash tells apart, one stays."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id in (2, 56, 709, 944, 3)")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == [2, 3, 709]
+
+
+def test_sets_are_read_in_small_pieces(spark, monkeypatch):
+    """The shingle sets of one large file are many row groups, of which a reader holds one at a time."""
+    from urllib.parse import urlparse
+
+    import pyarrow.parquet as pq
+
+    sizes = {}
+
+    def spied(df, name, *args, real=near_copies.stash, **more):
+        out = real(df, name, *args, **more)
+        for path in out.inputFiles():
+            meta = pq.read_metadata(urlparse(path).path)
+            groups = [meta.row_group(k) for k in range(meta.num_row_groups)]
+            sizes.setdefault(name, []).append([sum(g.column(c).total_uncompressed_size for c in range(g.num_columns)) for g in groups])
+        return out
+
+    monkeypatch.setattr(near_copies, "stash", spied)
+    docs = spark.range(0, 2_000, 1, 1).selectExpr("id doc_id", "concat_ws(' ', transform(sequence(1, 800), x -> concat('w', id, '-', x))) text")
+    assert near_copies.near_copy_groups(docs).select("grp").distinct().count() == 2_000
+    (groups,) = sizes["near-sets"]
+    assert sum(groups) > 12_000_000 and max(groups) < 8 << 20
+
+
+def test_tables_without_links_need_no_python(spark):
+    """Links and components of tables that Spark makes itself start no Python workers, whether there are links or not."""
+    from basewise.llm import components, simhash
+
+    for fps in (spark.range(0), spark.range(3)):
+        links = simhash.fingerprint_links(fps.selectExpr("id << 20 fp", "id rep"))
+        groups = components.connected_components(links, "a", "b")
+        assert (links.count() > 0) == (groups.count() > 0) == (fps.count() > 0)
+        assert not any("ExistingRDD" in df._jdf.queryExecution().toString() for df in (links, groups))
