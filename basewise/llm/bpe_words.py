@@ -17,7 +17,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,7 @@ FREQUENT = 250_000  # words in the broadcast table at most
 FREQUENT_BYTES = 24 << 20  # and bytes of them
 LEAST = 2  # occurrences in some part of a task's texts that a frequent word has
 FLUSH = 200_000  # chunks that a task counts at a time
+GATHERED = 8 << 20  # bytes of texts whose distinct chunks are looked up together
 KNOWN = 100_000  # chunks that a task remembers
 LONG_WORD = 64  # characters; longer words go to PARTS tasks each, since counts do not bound those that the table has no room for
 PARTS = 16
@@ -65,8 +68,14 @@ class Splitter:
         added = sorted(_added(path), key=len, reverse=True)
         self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.begins = {x[0] for x in added}
+        self.apart = not any(map(str.isalpha, self.begins))  # letters alone are no added token
 
     def __call__(self, chunk: str) -> list[str]:
+        if chunk.isascii() and self.apart:  # most chunks: letters, or letters and one more character
+            if chunk.isalpha():
+                return [chunk.lower()]
+            if (head := chunk[:-1]).isalpha() and "!" <= (last := chunk[-1]) <= "~" and last not in self.begins:
+                return [head.lower(), last]
         if self.added and not self.begins.isdisjoint(chunk) and (parts := self.added.split(chunk))[1:]:
             return [w for k, part in enumerate(parts) for w in ([MARK + part] if k % 2 else self._plain(part))]
         return self._plain(chunk)
@@ -106,20 +115,22 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text", least: int =
 
         def flushed() -> pa.RecordBatch:
             words: Counter[str] = Counter()
-            for chunk, n in seen.items():
+            for part, n in seen.items():
                 if n > 1 or least == 1:
-                    for word in split(chunk):
-                        words[word] += n
+                    for chunk in (part,) if part.isascii() else chunks(part):
+                        for word in split(chunk):
+                            words[word] += n
             seen.clear()
             kept = [(w, n) for w, n in words.items() if n >= least]
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
 
-        for batch in _small(batches):
-            for text in batch.column(0).to_pylist():
-                if text:
-                    seen.update(chunks(text))
-                    if len(seen) > FLUSH:
-                        yield flushed()
+        for batch in _gathered(batches):
+            distinct, at, _ = _dealt(pc.fill_null(batch.column(0), ""))
+            for chunk, n in zip(distinct, np.bincount(at, minlength=len(distinct)).tolist(), strict=True):
+                if chunk:
+                    seen[chunk] += n
+            if len(seen) > FLUSH:
+                yield flushed()
         yield flushed()
 
     return in_batches(docs).select(F.col(text_col).alias("text")).mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -180,42 +191,92 @@ def _frequent(words: DataFrame, most: int, room: int = FREQUENT_BYTES) -> DataFr
     return ranked.join(F.broadcast(words.sparkSession.createDataFrame(taken, "level int, length int")), ["level", "length"]).select("word", "n")
 
 
+def _dealt(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct, at, ends): the distinct chunks of all texts, which of them each chunk is, in the texts' order, and where each text's chunks end.
+
+    Chunks are cut at ASCII white space here, so one with other letters may hold several of the tokenizer's; empty ones stand where a text begins or ends with white space.
+    """
+    parts = pc.ascii_split_whitespace(texts)
+    ends = np.asarray(parts.offsets)[1:] - parts.offsets[0].as_py()
+    coded = parts.flatten().dictionary_encode()
+    whole = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py()  # one string, cut again: a value at a time takes longer
+    return whole.split(" ") if len(coded) else [], np.asarray(coded.indices), ends
+
+
+def _cut(values: pa.LargeBinaryArray, at: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The values at these places one after the other, cut where each text's places end."""
+    whole = values.take(pa.array(at, pa.int64()))
+    offsets, data = np.frombuffer(whole.buffers()[1], np.int64, len(whole) + 1), whole.buffers()[2]
+    stops = offsets[np.concatenate([[0], ends])].tolist()
+    return [data[a:b].to_pybytes() if b > a else b"" for a, b in zip(stops, stops[1:], strict=False)]
+
+
 class Places:
-    """Turns a text into word codes of four bytes: a frequent word's number, or, for the k-th of its distinct rare words in sorted order, the table's length + k."""
+    """Turns texts into word codes of four bytes: a frequent word's number, or, for the k-th of a text's distinct rare words in sorted order, the table's length + k."""
 
     def __init__(self, code_of: dict[str, bytes], path: str):
         self.split, self.code_of = Splitter(path), code_of
         self.known = dict(code_of)  # the codes of chunks of frequent words
 
-    def _learn(self, chunk: str) -> list[str] | None:
-        """The words of a chunk with rare words; chunks of frequent words become known."""
-        words = self.split(chunk)
-        codes = [self.code_of.get(w) for w in words]
-        if None in codes:
-            return words
-        self.known[chunk] = b"".join(codes) if len(codes) > 1 else codes[0]
-        return None
+    def _words(self, chunk: str) -> list[str]:
+        return self.split(chunk) if chunk.isascii() else [w for x in chunks(chunk) for w in self.split(x)]
 
-    def _fresh(self) -> dict[str, bytes]:
+    def _learn(self, distinct: list[str]) -> tuple[list[bytes | None], dict[int, list[str]]]:
+        """The codes of distinct chunks, and the words of those with rare words, which have no codes; chunks of frequent words become known."""
         if len(self.known) > KNOWN + len(self.code_of):
             self.known = dict(self.code_of)
-        return self.known
-
-    def rare(self, text: str) -> list[str]:
-        """The distinct rare words, sorted."""
-        return sorted({w for chunk in set(chunks(text)).difference(self._fresh()) for w in self._learn(chunk) or () if w not in self.code_of})
-
-    def __call__(self, text: str) -> bytes:
-        known, parts = self._fresh(), chunks(text)
-        found = list(map(known.get, parts))
-        if gaps := [k for k, x in enumerate(found) if x is None]:
-            new = {c: self._learn(c) for c in {parts[k] for k in gaps}}
-            rare = sorted({w for words in new.values() for w in words or () if w not in self.code_of})
-            code = {w: (len(self.code_of) + k).to_bytes(4, "little") for k, w in enumerate(rare)}
-            own = {c: b"".join([code[w] if w in code else self.code_of[w] for w in words]) if words else known[c] for c, words in new.items()}
-            for k in gaps:
-                found[k] = own[parts[k]]
-        return b"".join(found)
+        found, rare, known, get, apart = list(map(self.known.get, distinct)), {}, self.known, self.code_of.get, self.split.apart
+        for k in [k for k, x in enumerate(found) if x is None]:
+            chunk = distinct[k]
+            if apart and chunk.isascii() and chunk.isalpha():  # as the splitter has it, without two calls
+                words = [chunk.lower()]
+                code = get(words[0])
+            else:
+                words = self._words(chunk)
+                codes = list(map(get, words))
+                code = None if None in codes else b"".join(codes)
+            if code is None:
+                rare[k] = words
+            else:
+                known[chunk] = found[k] = code
+        return found, rare
+
+    def _open(self, rare: dict[int, list[str]], at: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the chunks with rare words stand, and where each text's part of these ends; n: distinct chunks."""
+        is_rare = np.zeros(n, bool)
+        is_rare[list(rare)] = True
+        places = np.flatnonzero(is_rare[at])
+        return places, np.searchsorted(places, ends)
+
+    def rare(self, texts: pa.Array) -> list[list[str]]:
+        """The distinct rare words of each text, sorted."""
+        distinct, at, ends = _dealt(texts)
+        _, rare = self._learn(distinct)
+        rare = {k: [w for w in words if w not in self.code_of] for k, words in rare.items()}
+        places, stops = self._open(rare, at, ends, len(distinct))
+        held, out, begin = at[places].tolist(), [], 0
+        for stop in stops.tolist():
+            out.append(sorted({w for k in held[begin:stop] for w in rare[k]}))
+            begin = stop
+        return out
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The codes of each text."""
+        distinct, at, ends = _dealt(texts)
+        codes, rare = self._learn(distinct)
+        places, stops = self._open(rare, at, ends, len(distinct))
+        held, begin, first = at[places].tolist(), 0, len(self.code_of)
+        at = at.astype(np.int64)
+        new = []
+        for stop in stops.tolist():
+            if own := held[begin:stop]:
+                code = {w: (first + k).to_bytes(4, "little") for k, w in enumerate(sorted({w for k in set(own) for w in rare[k] if w not in self.code_of}))}
+                for k in own:
+                    new.append(len(codes))
+                    codes.append(b"".join([code[w] if w in code else self.code_of[w] for w in rare[k]]))
+            begin = stop
+        at[places] = new
+        return _cut(pa.array(codes, pa.large_binary()), at, ends)
 
 
 def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -225,6 +286,18 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in groups of about GATHERED bytes, so that each distinct chunk of a group is looked up once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.nbytes for x in held) >= GATHERED:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 class Packer:
     """Codes in few bytes: their four bytes apart, compressed."""
 
@@ -234,8 +307,17 @@ class Packer:
     def pack(self, codes: bytes) -> bytes:
         return self.squeeze(np.frombuffer(codes, np.uint8).reshape(-1, 4).T.tobytes()) if codes else b""
 
-    def unpack(self, packed: bytes) -> list[int]:
-        return np.ascontiguousarray(np.frombuffer(self.expand(packed), np.uint8).reshape(4, -1).T).view("<u4")[:, 0].tolist() if packed else []
+    def unpack(self, packed: bytes) -> np.ndarray:
+        return np.ascontiguousarray(np.frombuffer(self.expand(packed), np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64) if packed else np.zeros(0, np.int64)
+
+
+def _tables(words: DataFrame, path: str) -> tuple[Broadcast[dict[str, bytes]], Broadcast[tuple[pa.Array, pa.Array, list[str]]]]:
+    """Broadcasts: the code of each of the words (word, n, ids, said); and for each code the ids and what they decode to, a space behind it, with the piece of every id."""
+    context, common = words.sparkSession.sparkContext, words.orderBy(F.desc("n"), "word").toArrow()
+    codes = context.broadcast({w: k.to_bytes(4, "little") for k, w in enumerate(common.column("word").to_pylist())})
+    ids = pa.array([np.array(x, "<u4").tobytes() for x in common.column("ids").to_pylist()], pa.large_binary())
+    said = pa.array([f"{x} ".encode() for x in common.column("said").to_pylist()], pa.large_binary())
+    return codes, context.broadcast((ids, said, pieces(path)))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, digest: bool = False, decoded: bool = False) -> DataFrame:
@@ -246,21 +328,19 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     are broadcast; the rest come back by a join, whatever their number.  Words may be of any length.
     """
     spark = docs.sparkSession
-    with scratch(spark):
-        common = encoded_words(_frequent(stash(word_counts(docs, path, text_col, LEAST), "bpe-counts"), frequent), path).orderBy(F.desc("n"), "word").toArrow()
-    known = common.column("word").to_pylist()
-    codes = spark.sparkContext.broadcast({w: k.to_bytes(4, "little") for k, w in enumerate(common.column("word").to_pylist())})
-    packed = [np.array(x, "<u4").tobytes() for x in common.column("ids").to_pylist()]
-    table = spark.sparkContext.broadcast((packed, common.column("said").to_pylist(), pieces(path)))
+    with scratch(spark):  # at its end the driver's copies of the tables are given back
+        codes, table = _tables(encoded_words(_frequent(stash(word_counts(docs, path, text_col, LEAST), "bpe-counts"), frequent), path), path)
     rows = in_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, seen = Places(codes.value, path), set()
-        for batch in _small(batches):
-            found = []
-            for *row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found.append([] if tuple(row) in seen else place.rare(text))  # rows that repeat share their rare words
-                seen.add(tuple(row))
+        for batch in _gathered(batches):
+            fresh = []
+            for row in zip(*(c.to_pylist() for c in batch.columns[:2]), strict=True):
+                fresh.append(row not in seen)  # rows that repeat share their rare words
+                seen.add(row)
+            own = iter(place.rare(batch.column(2).filter(pa.array(fresh, pa.bool_()))))
+            found = [next(own) if new else [] for new in fresh]
             if len(seen) > KNOWN:
                 seen.clear()
             at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
@@ -282,8 +362,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, pack = Places(codes.value, path), Packer().pack
-        for batch in _small(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([pack(place(t)) for t in batch.column(2).to_pylist()], pa.binary())], ["id", "hash", "codes"])
+        for batch in _gathered(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(list(map(pack, place(batch.column(2)))), pa.binary())], ["id", "hash", "codes"])
 
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string" if decoded else "ids array<int>"
     fields = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"][: 1 + decoded]
@@ -293,14 +373,23 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         ids_of, said_of, piece_of = table.value
         n, unpack = len(ids_of), Packer().unpack
         for batch in _small(batches):
-            out = []
+            pool, at = [], []
             for codes_, own, ids in zip(*(c.to_pylist() for c in batch.columns[1:4]), strict=True):
-                rare = {n + k: x for k, x in zip(own or (), ids or (), strict=True)}
-                spoken = {c: " ".join(piece_of[i] for i in np.frombuffer(x, "<u4").tolist()) for c, x in rare.items()} if digest or decoded else {}
-                at = unpack(codes_)
-                whole = b"".join([ids_of[c] if c < n else rare[c] for c in at])
-                text = " ".join([said_of[c] if c < n else spoken[c] for c in at]) if digest or decoded else ""
-                out.append((len(whole) // 4, hashlib.sha256(whole).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) if digest else (np.frombuffer(whole, "<u4").astype(np.int32), text))
+                now = unpack(codes_)
+                if own:
+                    rare = np.empty(max(own) + 1, np.int64)
+                    rare[own] = np.arange(n + len(pool), n + len(pool) + len(own))
+                    pool += ids
+                    now = np.where(now < n, now, rare[np.maximum(now, n) - n])
+                at.append(now)
+            ends, at = np.cumsum(list(map(len, at)), dtype=np.int64), np.concatenate([*at, np.zeros(0, np.int64)])
+            whole = _cut(pa.concat_arrays([ids_of, pa.array(pool, pa.large_binary())]), at, ends)
+            if not (digest or decoded):
+                out = [(np.frombuffer(x, "<i4"),) for x in whole]
+            else:
+                spoken = [(" ".join(piece_of[i] for i in np.frombuffer(x, "<u4").tolist()) + " ").encode() for x in pool]
+                texts = [x[:-1] for x in _cut(pa.concat_arrays([said_of, pa.array(spoken, pa.large_binary())]), at, ends)]
+                out = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(t).hexdigest()) if digest else (np.frombuffer(x, "<i4"), t.decode()) for x, t in zip(whole, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in out], t) for k, t in enumerate(types))], ["id", *fields])
 
     found = rows.mapInArrow(tidy(rare_words), "id long, hash long, k int, word string")
