@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import in_batches, scratch, stash, tidy, utf8
+from .common import in_batches, released, scratch, stash, tidy, utf8
 from .components import connected_components
 from .simhash import bit_table, fingerprint_links, majority, shingle_hashes
 
@@ -202,7 +202,9 @@ def similar_links(sets: DataFrame) -> DataFrame:
     if many.isEmpty():
         return links
 
+    released(sets.sparkSession)
     groups = connected_components(links, "a", "b")
+    released(sets.sparkSession)
     placed = many.join(groups, "node", "left").select("h", "node", F.coalesce("component", "node").alias("component"))
     split = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("h")
     placed = stash(placed.join(split, "h"), "near-split")
@@ -223,7 +225,11 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         nodes = sets.filter("size(held) > 0").join(rows.select("node", "fp").distinct(), "node").select("node", "fp")
         reps = stash(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "near-fingerprints")
         equal = nodes.join(reps, "fp").filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-        links = fingerprint_links(reps, BITS).union(equal).union(similar_links(sets))
+        near = stash(fingerprint_links(reps, BITS), "near-bits")
+        released(docs.sparkSession)  # many plans make much garbage, and the driver's heap grows as long as it isn't collected
+        links = near.union(equal).union(similar_links(sets))
+        released(docs.sparkSession)
         groups = connected_components(links, "a", "b")
+        released(docs.sparkSession)
         out = rows.select("id", "text_hash", "node").join(hinted(groups), "node", "left").select("id", "text_hash", F.coalesce("component", "node").alias("grp"))
         return stash(out, "near-groups", kept=True)

@@ -111,3 +111,12 @@ def test_tables_without_links_need_no_python(spark):
         groups = components.connected_components(links, "a", "b")
         assert (links.count() > 0) == (groups.count() > 0) == (fps.count() > 0)
         assert not any("ExistingRDD" in df._jdf.queryExecution().toString() for df in (links, groups))
+
+
+def test_driver_collects_between_steps(spark, monkeypatch):
+    """Garbage of a step's plans is given back before the next step, not only at the end: the driver's heap grows by it."""
+    calls = []
+    monkeypatch.setattr(near_copies, "released", calls.append)
+    df = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "h i j k l m n")], "doc_id long, text string")
+    groups = {r.id: r.grp for r in near_copies.near_copy_groups(df).collect()}
+    assert groups[1] == groups[2] != groups[3] and len(calls) >= 3
